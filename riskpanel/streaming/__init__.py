@@ -1,0 +1,2 @@
+"""Deliberately empty: every input of the engine is a finished table and every refit is a batch backtest,
+so there is no stream to define (see README)."""
