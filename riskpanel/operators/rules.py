@@ -116,3 +116,28 @@ def define_metrics(
         "r.rule_kind", "r.var", "r.case_levels", "r.admit_levels", "r.perc_levels",
         F.col("r.value").cast("double").alias("value"),
     )
+
+
+def rule_counts(panel: DataFrame, grid: Grid, by: dict[str, Column]) -> DataFrame:
+    """True, false and unknown counts of every rule of a grid, by group.
+
+    One conditional count per rule inside a single partial aggregate; the rules become rows afterwards.
+    """
+    cells = grid.cells()
+    rules = rule_array([grid], fixed_rules=False)
+    valued = panel.withColumns(by | {"rules": F.transform(rules, lambda r: r["value"])})
+    counts = [F.count(F.lit(1)).alias("n")]
+    for i in range(len(cells)):
+        v = F.col("rules")[i]
+        counts += [F.count_if(v).alias(f"t{i}"), F.count_if(~v).alias(f"f{i}")]
+    wide = valued.groupBy(*by).agg(*counts)
+    rows = F.array(*[
+        F.struct(
+            F.lit(grid.label(c)).alias("var"),
+            *[F.lit(x).alias(f"{n}_levels") for n, x in zip(INDICATORS, c, strict=True)],
+            F.col(f"t{i}").alias("n_true"), F.col(f"f{i}").alias("n_false"),
+            (F.col("n") - F.col(f"t{i}") - F.col(f"f{i}")).alias("n_unknown"),
+        )
+        for i, c in enumerate(cells)
+    ])
+    return wide.withColumn("r", F.explode(rows)).select(*by, "n", "r.*")
