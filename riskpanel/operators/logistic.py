@@ -8,12 +8,14 @@ about fifty numbers, solved in batches on the executors.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from riskpanel.operators.rules import DEFAULT_OUTCOMES, with_outcomes
 from riskpanel.operators.training import in_windows, quarterly_windows, weekly_windows
 from riskpanel.session import materialize
 
+# The solver travels with its tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Feature columns and the named specifications over them.
 FEATURES = {
     "c": "cases_weekly", "h": "admits_weekly", "o": "perc_covid_100", "z": "current_zeke",
@@ -121,30 +126,25 @@ def fit_table(dates: DataFrame, specs: Sequence[Spec], outcomes: Sequence[str],
 def _normal_equations(rows: DataFrame, fits: DataFrame, max_weeks: int, first: bool) -> DataFrame:
     """Per fit: X'WX, X'Wz, deviance and row count at the current coefficients."""
     side = fits.select("fit_id", "outcome_label", "window_key", "lo_date", "hi_date", *_M, *([] if first else _B))
-    joined = in_windows(rows, side, max_weeks, on=("outcome_label",)).where(
-        _all([~F.col(f"m_{f}") | F.col(f"x_{f}").isNotNull() for f in FEATURES])
-    )
-    x = [F.lit(1.0)] + [F.coalesce(f"x_{f}", F.lit(0.0)) for f in FEATURES]
-    y, w = F.col("y"), F.col("w")
+    complete = " AND ".join(f"(NOT m_{f} OR x_{f} IS NOT NULL)" for f in FEATURES)
+    joined = in_windows(rows, side, max_weeks, on=("outcome_label",)).where(complete)
+    x = {"one": "1e0"} | {f"x_{f}": f"coalesce(x_{f}, 0e0)" for f in FEATURES}
     if first:
         # Usual start of a binomial fit: each row's own weighted label, pulled towards one half.
-        mu0 = (w * y + 0.5) / (w + 1)
-        eta = F.log(mu0 / (1 - mu0))
+        eta = "ln((w * y + 0.5e0) / (w * (1 - y) + 0.5e0))"
     else:
-        eta = F.col("b0")
-        for b, xi in zip(_B[1:], x[1:], strict=True):
-            eta = eta + F.col(b) * xi
-        eta = F.greatest(F.least(eta, F.lit(_MAX_ETA)), F.lit(-_MAX_ETA))
-    point = joined.select("fit_id", "y", "w", eta.alias("eta"), *[xi.alias(n) for n, xi in zip(_X, x, strict=True)])
-    point = point.withColumn("mu", 1 / (1 + F.exp(-F.col("eta"))))
-    point = point.withColumn("iw", F.col("w") * F.col("mu") * (1 - F.col("mu")))
-    point = point.withColumn("iz", F.col("iw") * F.col("eta") + F.col("w") * (F.col("y") - F.col("mu")))
-    c = [F.col(n) for n in _X]
+        linear = " + ".join(f"{b} * {xi}" for b, xi in zip(_B, x.values(), strict=True))
+        eta = f"greatest(least({linear}, {_MAX_ETA}e0), -{_MAX_ETA}e0)"
+    point = (
+        joined.selectExpr("fit_id", "y", "w", f"{eta} AS eta", *[f"{xi} AS {n}" for n, xi in x.items()])
+        .selectExpr("*", "1 / (1 + exp(-eta)) AS mu")
+        .selectExpr("*", "w * mu * (1 - mu) AS iw", "w * mu * (1 - mu) * eta + w * (y - mu) AS iz")
+    )
     return point.groupBy("fit_id").agg(
-        *[F.sum(F.col("iw") * c[j] * c[k]).alias(g) for (j, k), g in zip(_PAIRS, _G, strict=True)],
-        *[F.sum(F.col("iz") * c[j]).alias(r) for j, r in enumerate(_R)],
-        F.sum(-2 * F.col("w") * F.log(F.when(F.col("y") == 1, F.col("mu")).otherwise(1 - F.col("mu")))).alias("dev"),
-        F.count(F.lit(1)).alias("n_rows"),
+        *[F.expr(f"sum(iw * {_X[j]} * {_X[k]}) AS {g}") for (j, k), g in zip(_PAIRS, _G, strict=True)],
+        *[F.expr(f"sum(iz * {_X[j]}) AS {r}") for j, r in enumerate(_R)],
+        F.expr("sum(-2 * w * ln(if(y = 1, mu, 1 - mu))) AS dev"),
+        F.expr("count(*) AS n_rows"),
     )
 
 
@@ -185,7 +185,7 @@ def _advance(step: int, tol: float, max_iter: int):
                 beta, kept = solve_systems(gram, sub[_R].to_numpy(float), used)
                 for j, b in enumerate(_B):
                     out.loc[go, b] = beta[:, j]
-                out.loc[go, "n_aliased"] = (used & ~kept).sum(axis=1)
+                out.loc[go, "n_aliased"] = (used & ~kept).sum(axis=1).astype("int32")
                 out.loc[go, "iterations"] = step + 1
             out["old_dev"] = np.where(has, dev, np.nan)
             out["n_train"] = pdf["n_rows"].fillna(0).astype("int64")
@@ -214,10 +214,12 @@ def fit_logistic(
     changes by less than ``tol`` relative, or after ``max_iter`` steps; finished fits leave the iteration.
     """
     max_weeks = max(weeks)
+    spark = rows.sparkSession
+    # Every row is met by many fits, so the work per byte is high: spread the rows over all cores, whatever their size.
     training = materialize(rows.where(F.col("outcome_value").isNotNull() & (F.col(weight) > 0)).select(
         "outcome_label", "ymd", F.col("outcome_value").cast("double").alias("y"), F.col(weight).alias("w"),
         *[F.col(c).cast("double").alias(f"x_{f}") for f, c in FEATURES.items()],
-    ), "training_rows")
+    ).repartition(spark.sparkContext.defaultParallelism), "training_rows")
     blank = {b: F.lit(0.0) for b in _B} | {
         "old_dev": F.lit(None).cast("double"), "n_train": F.lit(0).cast("long"), "n_aliased": F.lit(0),
         "iterations": F.lit(0), "state": F.lit("active"),

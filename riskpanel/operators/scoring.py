@@ -27,6 +27,13 @@ def _state(c: Column, code: str) -> Column:
     return c if code == "1" else ~c
 
 
+def sum_columns(value: Column, outcome: Column, weight: Column) -> list[Column]:
+    """The weight of a row (or of a summed cell), placed in the sum its state belongs to."""
+    return [
+        F.when(_state(value, s[1]) & _state(outcome, s[2]), weight).otherwise(0.0).alias(s) for s in SUMS
+    ]
+
+
 def confusion_sums(
     df: DataFrame, by: Sequence[str], weight: str = "weight", outcome: str = "outcome_value", value: str = "value"
 ) -> DataFrame:
@@ -141,8 +148,7 @@ def rule_sums(
                                   F.lit(var).alias("var"), met.alias("v")))
     met_cells = cells.withColumn("r", F.explode(F.array(*rules))).select(
         *keys, "r.type", "r.rule_kind", "r.var", "n", "n_weight", "w_all",
-        *[F.when(_state(F.col("r.v"), s[1]) & _state(F.col("y"), s[2]), F.col("w_all")).otherwise(0.0).alias(s)
-          for s in SUMS],
+        *sum_columns(F.col("r.v"), F.col("y"), F.col("w_all")),
     )
     return roll_up_periods(met_cells, ["type", "rule_kind", "var", "outcome_label"])
 
