@@ -112,7 +112,7 @@ def period_metrics(
 
 def rule_sums(
     panel: DataFrame, grids: Sequence[Grid], outcomes: Sequence[str], start: str, end: str, split: str,
-    fixed_rules: bool = True, weight: str = "weight",
+    fixed_rules: bool = True, weight: str = "weight", by: Sequence[str] = (),
 ) -> DataFrame:
     """Sums per period x outcome x rule without fanning the panel out over the grid.
 
@@ -125,7 +125,7 @@ def rule_sums(
         c = F.col(INDICATORS[name])
         return sum((F.when(c >= x, 1).when(c.isNotNull(), 0) for x in levels[name]), F.lit(0))
 
-    keys = ["quarter_label", "split_label", "outcome_label"]
+    keys = ["quarter_label", "split_label", "outcome_label", *by]
     state = ["l_case", "l_admit", "l_perc", "cdc_flag", "z_rule", "y"]
     rows = with_outcomes(with_period_parts(panel, start, end, split), outcomes).withColumns(
         {f"l_{n}": reached(n) for n in INDICATORS} | {"y": F.col("outcome_value").cast("boolean")}
@@ -150,7 +150,7 @@ def rule_sums(
         *keys, "r.type", "r.rule_kind", "r.var", "n", "n_weight", "w_all",
         *sum_columns(F.col("r.v"), F.col("y"), F.col("w_all")),
     )
-    return roll_up_periods(met_cells, ["type", "rule_kind", "var", "outcome_label"])
+    return roll_up_periods(met_cells, ["type", "rule_kind", "var", "outcome_label", *by])
 
 
 def with_preferences(sums: DataFrame, preferences: dict[str, float] = PREFERENCES) -> DataFrame:
