@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskpanel.session import materialize
+
 # Number of value ranges a distribution is cut into. Each range is sorted on its own.
 RANGES = 64
 CUT_POINTS = [i / RANGES for i in range(1, RANGES)]
@@ -20,7 +22,9 @@ def _ranged_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     points of the ranges come from a mergeable sketch; they only balance the work and do not affect the result.
     """
     by = list(by)
-    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_ties"))
+    # Four steps below read the distinct values; stored once, they are computed once and have known size.
+    values = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_ties")), "distinct_values")
     cuts = values.groupBy(*by).agg(
         F.percentile_approx(value, CUT_POINTS, F.lit(1000)).alias("cuts")
     )
@@ -57,11 +61,16 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def rank_average_ties(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
-    """Rank over the whole table with ties sharing their mean rank; NULL values keep a NULL rank."""
+def rank_table(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
+    """Each distinct value with its rank over all rows of ``df``, ties sharing their mean rank."""
     pos = value_positions(df, value)
     n_ahead = F.col("n_group") - F.col("n_below") - F.col("n_ties") if descending else F.col("n_below")
-    ranks = pos.select(F.col(value).alias("k_value"), (n_ahead + (F.col("n_ties") + 1) / 2).alias(name))
+    return pos.select(value, (n_ahead + (F.col("n_ties") + 1) / 2).alias(name))
+
+
+def rank_average_ties(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
+    """Rank over the whole table with ties sharing their mean rank; NULL values keep a NULL rank."""
+    ranks = rank_table(df, value, name, descending).withColumnRenamed(value, "k_value")
     return df.join(ranks, F.col(value) == F.col("k_value"), "left").drop("k_value")
 
 

@@ -13,6 +13,7 @@ from riskpanel.operators import ranking as RK
 from riskpanel.operators.reshape import like_columns, map_numeric
 from riskpanel.queries import query
 from riskpanel.queries import shared as X
+from riskpanel.session import literal_table
 from riskpanel.sources.commerce import table
 
 _n = F.count(F.lit(1)).alias("n")
@@ -189,7 +190,7 @@ kept AS (SELECT coalesce(unit, n_nationkey) AS code, n_name FROM nation LEFT JOI
 SELECT m.code, n_name, customers, members, round(acctbal, 4) AS acctbal FROM merged m LEFT JOIN kept k ON m.code = k.code""")
 def area_crosswalk(spark, sf_dir):
     """Measures are remapped and summed; the lookup keeps one representative per unit."""
-    cw = spark.createDataFrame(_CROSSWALK, "code int, unit int, keep boolean")
+    cw = literal_table(spark, _CROSSWALK, "code int, unit int, keep boolean")
     customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("code"), "c_nationkey", "c_acctbal")
     merged = J.remap_codes(customers, "code", cw).groupBy("code").agg(
         F.count(F.lit(1)).alias("customers"), F.countDistinct("c_nationkey").alias("members"),
