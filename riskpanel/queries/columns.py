@@ -16,7 +16,9 @@ from riskpanel.queries import shared as X
 from riskpanel.session import literal_table
 from riskpanel.sources.commerce import table
 
-_n = F.count(F.lit(1)).alias("n")
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
 
 
 @query("project_rename", """SELECT o_orderkey AS id, o_custkey AS area, CAST(o_orderdate AS DATE) AS ymd,
@@ -64,7 +66,7 @@ def impute_suppressed(spark, sf_dir):
     i = s.withColumns(C.impute_columns(
         {"adult": v["adult_admissions"], "child": v["paediatric_admissions"], "beds": v["beds"]}))
     return X.rounded(i.groupBy("l_returnflag", "l_linestatus").agg(
-        _n, F.count_if(F.col("q") < 0).alias("n_suppressed"), A.count_missing("adult").alias("n_missing"),
+        _n(), F.count_if(F.col("q") < 0).alias("n_suppressed"), A.count_missing("adult").alias("n_missing"),
         F.sum("adult").alias("adult"), F.sum("child").alias("child"), F.sum("beds").alias("beds")), 4)
 
 
@@ -77,7 +79,7 @@ def outcome_band_label(spark, sf_dir):
         "band": B.death_band(F.col("zeke_time_3"), F.col("two_zeke_time_3")),
         "quarter_label": D.quarter_label(F.col("ymd")),
     })
-    return p.groupBy("band", "quarter_label").agg(_n)
+    return p.groupBy("band", "quarter_label").agg(_n())
 
 
 @query("safe_ratio_capped", """WITH r AS (SELECT l_suppkey,
@@ -102,7 +104,7 @@ def safe_ratio_capped(spark, sf_dir):
     pair = known.withColumns({"num": C.null_unless("num", "den"), "den": C.null_unless("den", "num")})
     base = C.ratio_or_one("num", "den")
     return pair.groupBy("l_suppkey").agg(
-        _n, F.count("num").alias("n_num"), F.count("den").alias("n_den"), F.count_if(base > 1).alias("n_above"),
+        _n(), F.count("num").alias("n_num"), F.count("den").alias("n_den"), F.count_if(base > 1).alias("n_above"),
         X.rnd(F.avg(C.cap_at_one(base))).alias("factor"))
 
 
@@ -114,7 +116,7 @@ def fill_null_zero(spark, sf_dir):
     p = X.panel(spark, sf_dir, "member")
     ratio = F.try_divide("admits_weekly", "cases_weekly")
     return p.groupBy("state").agg(
-        _n, A.count_missing("admits_weekly").alias("n_missing"),
+        _n(), A.count_missing("admits_weekly").alias("n_missing"),
         X.rnd(F.avg(C.zero_if_missing("admits_weekly"))).alias("admits"),
         X.rnd(F.avg(C.zero_if_missing(C.zero_if_infinite(ratio)))).alias("per_case"))
 
@@ -142,7 +144,7 @@ def filter_not_in_nullsafe(spark, sf_dir):
     known = table(spark, sf_dir, "nation").where("n_regionkey <> 3")
     named = J.lookup_left(table(spark, sf_dir, "customer"), known, {"c_nationkey": "n_nationkey"}, ["n_name"])
     kept = named.where(C.not_in("n_name", ["NATION_1", "NATION_2", "NATION_7"]))
-    return X.rounded(kept.groupBy("n_name").agg(_n, F.sum("c_acctbal").alias("acctbal")), 4)
+    return X.rounded(kept.groupBy("n_name").agg(_n(), F.sum("c_acctbal").alias("acctbal")), 4)
 
 
 @query("filter_date_range", f"""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus,
@@ -154,14 +156,14 @@ def filter_date_range(spark, sf_dir):
     kept = table(spark, sf_dir, "orders").where((d >= F.lit(X.START).cast("timestamp_ntz"))
                                                 & (d <= F.lit(X.END).cast("timestamp_ntz")))
     return kept.groupBy(D.month_start(d.cast("date")).alias("month"), "o_orderstatus").agg(
-        _n, X.rnd(F.sum("o_totalprice"), 2).alias("amount"))
+        _n(), X.rnd(F.sum("o_totalprice"), 2).alias("amount"))
 
 
 @query("weekly_sample_dow", """SELECT CAST(o_orderdate AS DATE) AS ymd, dayname(o_orderdate) AS weekday, count(*) AS n
   FROM orders WHERE dayofweek(o_orderdate) = 3 GROUP BY ALL""")
 def weekly_sample_dow(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("ymd"))
-    return orders.where(D.is_wednesday(F.col("ymd"))).groupBy("ymd").agg(_n).withColumn(
+    return orders.where(D.is_wednesday(F.col("ymd"))).groupBy("ymd").agg(_n()).withColumn(
         "weekday", D.weekday_name(F.col("ymd")))
 
 
@@ -205,7 +207,7 @@ def area_crosswalk(spark, sf_dir):
 def rule_label(spark, sf_dir):
     known = table(spark, sf_dir, "nation").where("n_regionkey <> 3")
     joined = J.lookup_left(table(spark, sf_dir, "customer"), known, {"c_nationkey": "n_nationkey"}, ["n_regionkey"])
-    return joined.groupBy(B.rule_label("c_mktsegment", "n_regionkey").alias("label")).agg(_n)
+    return joined.groupBy(B.rule_label("c_mktsegment", "n_regionkey").alias("label")).agg(_n())
 
 
 @query("split_rule_label", """SELECT split_part(p_name, ' ', 1) AS first_part,
@@ -215,7 +217,7 @@ def rule_label(spark, sf_dir):
 def split_rule_label(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(
         *[c.alias(k) for k, c in B.split_label(F.col("p_name"), ["first_part", "second_part", "third_part"]).items()])
-    return parts.groupBy("first_part", "second_part", "third_part").agg(_n)
+    return parts.groupBy("first_part", "second_part", "third_part").agg(_n())
 
 
 @query("date_parts", """SELECT event_id, CAST(ts AS DATE) AS ymd, CAST(ts AS DATE) + 5 AS plus_5, CAST(ts AS DATE) - 21 AS minus_21,
@@ -249,7 +251,7 @@ def code_normalise(spark, sf_dir):
     t = table(spark, sf_dir, "customer").select(
         F.when(key % 11 == 0, "USA-unknown")
         .otherwise(F.concat(F.lit("USA-"), F.lpad((key % 97).cast("string"), 5, "0"))).alias("geoid"))
-    return t.groupBy(B.code_number(F.col("geoid"), "USA-").alias("fips")).agg(_n)
+    return t.groupBy(B.code_number(F.col("geoid"), "USA-").alias("fips")).agg(_n())
 
 
 @query("round_numeric_cols", f"""WITH {X.panel_sql('state')}
@@ -269,7 +271,7 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
   CAST(list_position(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], o_orderpriority) AS INTEGER)
   AS label_rev, count(*) AS n FROM orders GROUP BY ALL""")
 def ordered_labels(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(_n)
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(_n())
     return o.withColumns({
         "label_ord": B.ordinal(F.col("label"), _PRIORITIES),
         "label_rev": B.ordinal(F.col("label"), _PRIORITIES, reverse=True),
@@ -283,7 +285,7 @@ def regex_rule_class(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     label = F.when(F.col("p_type").rlike("daptive|ECO"), "first").when(F.col("p_brand").rlike("[05]$"), "second")
     return p.groupBy(label.otherwise("other").alias("class")).agg(
-        _n, F.count_if(F.col("p_name").rlike("^(red|hot)")).alias("n_named"))
+        _n(), F.count_if(F.col("p_name").rlike("^(red|hot)")).alias("n_named"))
 
 
 @query("cutoff_schedules", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS ymd FROM orders),

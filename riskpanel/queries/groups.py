@@ -12,7 +12,9 @@ from riskpanel.queries import query
 from riskpanel.queries import shared as X
 from riskpanel.sources.commerce import table
 
-_n = F.count(F.lit(1)).alias("n")
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
 _MEASURES = ["cases_weekly", "admits_weekly", "icu_weekly", "perc_covid_100", "deaths_weekly"]
 
 
@@ -27,7 +29,7 @@ def agg_group_sum(spark, sf_dir):
     """Members summed to their group: missing values are skipped and an all-missing group is 0."""
     part = lambda i: F.split_part("state", F.lit("-"), F.lit(i))
     return X.rounded(X.panel(spark, sf_dir, "member").groupBy(part(1).alias("area"), part(2).alias("segment"), "ymd").agg(
-        _n, A.sum_present("admits_weekly").alias("admits"), A.sum_present("icu_weekly").alias("icu")))
+        _n(), A.sum_present("admits_weekly").alias("admits"), A.sum_present("icu_weekly").alias("icu")))
 
 
 @query("null_profile", f"""WITH {X.panel_sql('member')}, l AS ({_long_sql(_MEASURES)})
@@ -53,7 +55,7 @@ def agg_min_max_mean(spark, sf_dir):
 def agg_first_value(spark, sf_dir):
     order = ["o_orderdate", "o_orderkey"]
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        A.first_by("o_orderpriority", order).alias("first_priority"), A.first_by("o_totalprice", order).alias("first_price"), _n)
+        A.first_by("o_orderpriority", order).alias("first_priority"), A.first_by("o_totalprice", order).alias("first_price"), _n())
 
 
 @query("duplicate_keys", """SELECT user_id, CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events
@@ -89,7 +91,7 @@ def weighted_mean(spark, sf_dir):
   round(avg(CAST(admits_weekly > 2 AS INTEGER)), 6) AS share_admits FROM panel GROUP BY 1""")
 def count_if_share(spark, sf_dir):
     return X.rounded(X.panel(spark, sf_dir, "member").groupBy("ymd").agg(
-        _n, F.count_if(F.col("cases_weekly") > 3).alias("n_high"), A.share_true(F.col("zeke_time_3")).alias("share_severe"),
+        _n(), F.count_if(F.col("cases_weekly") > 3).alias("n_high"), A.share_true(F.col("zeke_time_3")).alias("share_severe"),
         A.share_true(F.col("admits_weekly") > 2).alias("share_admits")))
 
 
@@ -120,7 +122,7 @@ def unpivot_outcomes(spark, sf_dir):
     outcomes = ["zeke_time_3", "two_zeke_time_3", "icu_2_time_3", "perc_covid_10_time_3"]
     p = X.panel(spark, sf_dir, "group").select("state", "ymd", *[F.col(o).cast("double").alias(o) for o in outcomes])
     long = to_long(p, ["state", "ymd"], outcomes, "outcome_label", "outcome_value")
-    return long.groupBy("outcome_label", quarter_label(F.col("ymd")).alias("quarter"), "outcome_value").agg(_n)
+    return long.groupBy("outcome_label", quarter_label(F.col("ymd")).alias("quarter"), "outcome_value").agg(_n())
 
 
 @query("dq_report", f"""WITH {X.panel_sql('member')}, l AS ({_long_sql(_MEASURES)}),

@@ -10,7 +10,9 @@ from riskpanel.queries import shared as X
 from riskpanel.sources import commerce as K
 from riskpanel.sources.commerce import table
 
-_n = F.count(F.lit(1)).alias("n")
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
 _DAY = "CAST(o_orderdate AS DATE)"
 
 
@@ -19,7 +21,7 @@ _DAY = "CAST(o_orderdate AS DATE)"
 def join_lookup_left(spark, sf_dir):
     lookup = table(spark, sf_dir, "nation").where("n_regionkey <> 3")
     joined = J.lookup_left(table(spark, sf_dir, "customer"), lookup, {"c_nationkey": "n_nationkey"}, ["n_name"])
-    return joined.groupBy("n_name", "c_mktsegment").agg(_n, X.rnd(F.sum("c_acctbal"), 4).alias("acctbal"))
+    return joined.groupBy("n_name", "c_mktsegment").agg(_n(), X.rnd(F.sum("c_acctbal"), 4).alias("acctbal"))
 
 
 @query("join_inner_via_left", f"""SELECT n_name, {_DAY} AS ymd, count(*) AS cases FROM orders
@@ -88,7 +90,7 @@ def semi_join_dates(spark, sf_dir):
     days = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_returnflag = 'R'").select(
         F.col("l_shipdate").cast("date").alias("ymd")).distinct()
     by_day = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("ymd")).agg(
-        _n, X.rnd(F.sum("o_totalprice"), 2).alias("amount"))
+        _n(), X.rnd(F.sum("o_totalprice"), 2).alias("amount"))
     return by_day.join(days, "ymd", "left_semi")
 
 
@@ -98,7 +100,7 @@ def anti_join_unmatched(spark, sf_dir):
     """Coverage check: residents without any closed order."""
     seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     left = table(spark, sf_dir, "customer").join(seen, "c_custkey", "left_anti")
-    return left.groupBy("c_nationkey", "c_mktsegment").agg(_n)
+    return left.groupBy("c_nationkey", "c_mktsegment").agg(_n())
 
 
 @query("reconcile_rollups", f"""WITH {X.facts_sql('group')}, g AS (SELECT split_part(state, '-', 1) AS area, ymd,

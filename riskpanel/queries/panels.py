@@ -83,6 +83,10 @@ def _roll7(c: str, strict: bool = False) -> str:
     return f"CASE WHEN {full} THEN avg({c}) {w} END"
 
 
+RAW_TABLES = ("hospital_days", "state_cases", "state_census", "statewide_report", "hospital_weeks", "county_cases",
+              "service_areas", "county_census")
+
+
 def raw(spark, sf_dir, name):
     """A raw-like table, written once: the cleaning plans start from stored files, as they do on real data."""
     return X.stored(spark, f"raw_{name}", sf_dir, build=lambda: getattr(W, name)(spark, sf_dir))
