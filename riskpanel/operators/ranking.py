@@ -15,19 +15,23 @@ RANGES = 64
 CUT_POINTS = [i / RANGES for i in range(1, RANGES)]
 
 
-def _ranged_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Distinct values with their counts, the value range each lies in, and the count before that range.
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values (a missing one too) with their row counts, stored.
 
-    Ties collapse before anything is sorted, so one value repeated in a third of all rows costs one row. The cut
-    points of the ranges come from a mergeable sketch; they only balance the work and do not affect the result.
+    Ties collapse here, before anything is sorted, so one value repeated in a third of all rows costs one row. The
+    steps below read this table several times; stored once, it is computed once and has a known size.
     """
-    by = list(by)
-    # Four steps below read the distinct values; stored once, they are computed once and have known size.
-    values = materialize(
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_ties")), "distinct_values")
-    cuts = values.groupBy(*by).agg(
-        F.percentile_approx(value, CUT_POINTS, F.lit(1000)).alias("cuts")
-    )
+    return materialize(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_ties")), "value_counts")
+
+
+def _ranged_counts(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Adds the value range each value lies in and the number of rows before that range.
+
+    The cut points of the ranges come from a mergeable sketch; they only balance the work and do not affect the
+    result.
+    """
+    values = counts.where(F.col(value).isNotNull())
+    cuts = values.groupBy(*by).agg(F.percentile_approx(value, CUT_POINTS, F.lit(1000)).alias("cuts"))
     if by:
         joined = values.join(cuts.select(*[F.col(b).alias(f"k_{b}") for b in by], "cuts"),
                              on=[F.col(b).eqNullSafe(F.col(f"k_{b}")) for b in by])
@@ -51,11 +55,11 @@ def _ranged_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return ranged.join(starts, on=on).drop("k_range", *[f"k_{b}" for b in by])
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct value: ``n_ties`` and ``n_below`` (rows with a smaller value), over the whole group."""
+def value_positions(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per distinct value of ``value_counts``: ``n_below`` (rows of the group with a smaller value) and ``n_group``."""
     by = list(by)
     w = Window.partitionBy(*by, "value_range").orderBy(value)
-    return _ranged_counts(df, value, by).select(
+    return _ranged_counts(counts, value, by).select(
         *by, value, "n_ties", "n_group",
         (F.col("n_before_range") + F.sum("n_ties").over(w) - F.col("n_ties")).alias("n_below"),
     )
@@ -63,7 +67,7 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
 
 def rank_table(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
     """Each distinct value with its rank over all rows of ``df``, ties sharing their mean rank."""
-    pos = value_positions(df, value)
+    pos = value_positions(value_counts(df, value), value)
     n_ahead = F.col("n_group") - F.col("n_below") - F.col("n_ties") if descending else F.col("n_below")
     return pos.select(value, (n_ahead + (F.col("n_ties") + 1) / 2).alias(name))
 
@@ -76,7 +80,7 @@ def rank_average_ties(df: DataFrame, value: str, name: str, descending: bool = T
 
 def ordered_positions(df: DataFrame, value: str, name: str = "r") -> DataFrame:
     """1-based position of each distinct value in ascending order, with the number of distinct values ``n``."""
-    pos = value_positions(df.select(value).distinct(), value)
+    pos = value_positions(value_counts(df.select(value).distinct(), value), value)
     return pos.select(value, (F.col("n_below") + 1).alias(name), F.col("n_group").alias("n"))
 
 
@@ -89,7 +93,8 @@ def exact_quantiles(
     order statistic.
     """
     by = list(by)
-    pos = value_positions(df, value, by)
+    counts = value_counts(df, value, by)
+    pos = value_positions(counts, value, by)
     spots = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in probs.items()])
     at = F.lit(1.0) * F.col("s.p") * (F.col("n_group") - 1)
     lo, hi = F.floor(at), F.ceil(at)
@@ -103,8 +108,9 @@ def exact_quantiles(
     picks = hits.groupBy(*by).agg(
         *[F.sum(F.when(F.col("s.q") == name, F.col(value) * weight)).alias(name) for name in probs]
     )
-    sizes = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias(count_name), F.count(F.col(value)).alias("n_known")
+    sizes = counts.groupBy(*by).agg(
+        F.sum("n_ties").alias(count_name),
+        F.sum(F.when(F.col(value).isNotNull(), F.col("n_ties")).otherwise(0)).alias("n_known"),
     )
     keyed = picks.select(*[F.col(b).alias(f"k_{b}") for b in by], *probs)
     joined = sizes.join(keyed, [F.col(b).eqNullSafe(F.col(f"k_{b}")) for b in by], "left")

@@ -118,26 +118,46 @@ def define_metrics(
     )
 
 
-def rule_counts(panel: DataFrame, grid: Grid, by: dict[str, Column]) -> DataFrame:
-    """True, false and unknown counts of every rule of a grid, by group.
+def reached_levels(grids: Sequence[Grid]) -> tuple[dict[str, Column], dict[str, list[float]]]:
+    """Per indicator, the number of grid levels a row reaches (NULL stays NULL), and the levels themselves.
 
-    One conditional count per rule inside a single partial aggregate; the rules become rows afterwards.
+    Which rules of a grid a row meets depends on these few numbers only, so rows can be summed by them before they
+    meet the rules.
     """
-    cells = grid.cells()
-    rules = rule_array([grid], fixed_rules=False)
-    valued = panel.withColumns(by | {"rules": F.transform(rules, lambda r: r["value"])})
-    counts = [F.count(F.lit(1)).alias("n")]
-    for i in range(len(cells)):
-        v = F.col("rules")[i]
-        counts += [F.count_if(v).alias(f"t{i}"), F.count_if(~v).alias(f"f{i}")]
-    wide = valued.groupBy(*by).agg(*counts)
-    rows = F.array(*[
+    levels = {n: sorted({x for g in grids for x in getattr(g, n)}) for n in INDICATORS}
+
+    def reached(name: str) -> Column:
+        c = F.col(INDICATORS[name])
+        return sum((F.when(c >= x, 1).when(c.isNotNull(), 0) for x in levels[name]), F.lit(0))
+
+    return {f"l_{n}": reached(n) for n in INDICATORS}, levels
+
+
+def cell_rule(cell: tuple[float, float, float], levels: dict[str, list[float]]) -> Column:
+    """A grid cell's rule on a row of reached levels."""
+    met = F.lit(True)
+    for n, x in zip(INDICATORS, cell, strict=True):
+        met = met & (F.col(f"l_{n}") >= levels[n].index(x) + 1)
+    return met
+
+
+def rule_counts(panel: DataFrame, grid: Grid, by: dict[str, Column]) -> DataFrame:
+    """True, false and unknown counts of every rule of a grid, by group."""
+    reached, levels = reached_levels([grid])
+    cells = panel.withColumns(by | reached).groupBy(*by, *reached).agg(F.count(F.lit(1)).alias("n"))
+    rules = F.array(*[
         F.struct(
             F.lit(grid.label(c)).alias("var"),
             *[F.lit(x).alias(f"{n}_levels") for n, x in zip(INDICATORS, c, strict=True)],
-            F.col(f"t{i}").alias("n_true"), F.col(f"f{i}").alias("n_false"),
-            (F.col("n") - F.col(f"t{i}") - F.col(f"f{i}")).alias("n_unknown"),
+            cell_rule(c, levels).alias("v"),
         )
-        for i, c in enumerate(cells)
+        for c in grid.cells()
     ])
-    return wide.withColumn("r", F.explode(rows)).select(*by, "n", "r.*")
+    fanned = cells.withColumn("r", F.explode(rules)).select(*by, "n", "r.*")
+
+    def total(cond: Column) -> Column:
+        return F.sum(F.when(cond, F.col("n")).otherwise(0))
+
+    v = F.col("v")
+    return fanned.groupBy(*by, "var", *[f"{n}_levels" for n in INDICATORS]).agg(
+        F.sum("n").alias("n"), total(v).alias("n_true"), total(~v).alias("n_false"), total(v.isNull()).alias("n_unknown"))

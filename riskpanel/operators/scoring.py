@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.dates import quarter_label
 from riskpanel.functions.labels import METRIC_NAMES, OUTCOME_NAMES, PREFERENCES, RULE_NAMES, recode
-from riskpanel.operators.rules import DEFAULT_OUTCOMES, INDICATORS, Grid, with_outcomes
+from riskpanel.operators.rules import DEFAULT_OUTCOMES, Grid, cell_rule, reached_levels, with_outcomes
 
 # s<value><outcome>: 1 true, 0 false, n unknown.
 SUMS = ("s11", "s10", "s1n", "s01", "s00", "s0n")
@@ -116,19 +116,13 @@ def rule_sums(
 ) -> DataFrame:
     """Sums per period x outcome x rule without fanning the panel out over the grid.
 
-    Each indicator becomes the number of levels it reaches (NULL stays NULL). The panel is summed over those
-    few reached-level cells, and only the cells meet the rules.
+    The panel is summed by the levels each indicator reaches, and only these cells meet the rules.
     """
-    levels = {n: sorted({x for g in grids for x in getattr(g, n)}) for n in INDICATORS}
-
-    def reached(name: str) -> Column:
-        c = F.col(INDICATORS[name])
-        return sum((F.when(c >= x, 1).when(c.isNotNull(), 0) for x in levels[name]), F.lit(0))
-
+    reached, levels = reached_levels(grids)
     keys = ["quarter_label", "split_label", "outcome_label", *by]
-    state = ["l_case", "l_admit", "l_perc", "cdc_flag", "z_rule", "y"]
+    state = [*reached, "cdc_flag", "z_rule", "y"]
     rows = with_outcomes(with_period_parts(panel, start, end, split), outcomes).withColumns(
-        {f"l_{n}": reached(n) for n in INDICATORS} | {"y": F.col("outcome_value").cast("boolean")}
+        reached | {"y": F.col("outcome_value").cast("boolean")}
     )
     cells = rows.groupBy(*keys, *state).agg(
         F.count(F.lit(1)).alias("n"), F.count(weight).alias("n_weight"),
@@ -138,10 +132,8 @@ def rule_sums(
     rules = []
     for grid in grids:
         for cell in grid.cells():
-            need = {n: levels[n].index(x) + 1 for n, x in zip(INDICATORS, cell, strict=True)}
-            met = (F.col("l_case") >= need["case"]) & (F.col("l_admit") >= need["admit"]) & (F.col("l_perc") >= need["perc"])
             rules.append(F.struct(F.lit(grid.kind).alias("type"), F.lit("static").alias("rule_kind"),
-                                  F.lit(grid.label(cell)).alias("var"), met.alias("v")))
+                                  F.lit(grid.label(cell)).alias("var"), cell_rule(cell, levels).alias("v")))
     if fixed_rules:
         for var, met in (("cdc_flag", F.col("cdc_flag")), ("current_zeke", F.col("z_rule") > 0)):
             rules.append(F.struct(F.lit(grids[0].kind).alias("type"), F.lit("baseline").alias("rule_kind"),
