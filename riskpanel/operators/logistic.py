@@ -68,7 +68,7 @@ _G = [f"g{j}_{k}" for j, k in _PAIRS]
 _R = [f"r{j}" for j in range(_P)]
 _MAX_ETA = 30.0
 # A column whose remaining sum of squares falls below this share of its own is a combination of earlier ones.
-_ALIAS_TOL = 1e-10
+_ALIAS_TOL = 1e-13
 
 
 def spec(name: str) -> Spec:
