@@ -102,3 +102,33 @@ def test_group_and_member_panels(spark):
 def test_lookup_publication(spark):
     df = spark.createDataFrame([(date(2022, 5, 5), "new"), (date(2022, 4, 28), "old")], "p date, v string")
     assert [r.v for r in J.snapshot(df, F.col("p"), date(2022, 5, 6)).collect()] == ["new"]
+
+
+def test_hot_customer_is_split_and_counted_whole(spark, tmp_path):
+    """A customer with a third of all orders: the join splits its partition and no order is lost."""
+    from riskpanel.sources.commerce import order_facts
+
+    n = 600_000
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+    day = F.expr("timestamp_ntz'2000-01-03 00:00:00' + make_dt_interval(cast(id % 300 as int))")
+    spark.range(n).select(
+        key.alias("o_custkey"), day.alias("o_orderdate"), F.lit("F").alias("o_orderstatus"),
+        F.uuid().alias("o_orderpriority")).repartition(16).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(5000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey"),
+                             F.lit("BUILDING").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        facts = order_facts(spark, str(tmp_path), "state", lambda d: d)
+        rows = facts.collect()
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r.cases for r in rows) == sum(r.deaths for r in rows) == n
+    assert "skew=true" in plan
