@@ -229,9 +229,11 @@ def switch_summary(spark, sf_dir):
     return W.switch_summary(calendar, X.panel(spark, sf_dir), R.DEFAULT_OUTCOMES)
 
 
-@query("prediction_calendar")
+@query("prediction_calendar", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {M.newton_sql(('h', 'c'))}, {_PREDICTED}
+SELECT state, ymd, outcome_label, {X.LAB2_SQL} AS lab2, value, CAST(y AS BOOLEAN) AS happened FROM predicted""")
 def prediction_calendar(spark, sf_dir):
-    return P.predicted_calendar(M.scored(spark, sf_dir), "Adaptive", "Adaptive: CHOD")
+    """Predicted class and actual outcome per area and week, deaths from one specification and beds from another."""
+    return P.predicted_calendar(M.scored(spark, sf_dir), "Adaptive: H", "Adaptive: C")
 
 
 _BANDS_SQL = f"""bands AS MATERIALIZED (SELECT state, ymd, POPESTIMATE2019, deaths_weekly,
