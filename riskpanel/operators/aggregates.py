@@ -81,12 +81,16 @@ def area_totals(df: DataFrame, date: str, population: str) -> DataFrame:
     )
 
 
-def date_weights(df: DataFrame, date: str = "ymd", population: str = "POPESTIMATE2019") -> DataFrame:
+def date_weights(
+    df: DataFrame, date: str = "ymd", population: str = "POPESTIMATE2019", source: DataFrame | None = None
+) -> DataFrame:
     """Population share and equal share of each area within its date.
 
-    The totals are one row per date from a partial aggregate, joined back: no date is gathered into one task.
+    The totals are one row per date from a partial aggregate, joined back: no date is gathered into one task. A
+    ``source`` with the same areas and dates lets the totals come from a stored table instead of a second run of
+    everything behind ``df``.
     """
-    totals = area_totals(df, date, population).withColumnRenamed(date, "k_date")
+    totals = area_totals(df if source is None else source, date, population).withColumnRenamed(date, "k_date")
     return (
         df.join(totals, F.col(date) == F.col("k_date"), "left")
         .withColumns({

@@ -18,7 +18,7 @@ from riskpanel.operators import aggregates as A
 from riskpanel.operators import joins as J
 from riskpanel.operators.ranking import rank_table
 from riskpanel.plans.daily import CleaningRules, daily_features, weekly_outcomes, with_calendar
-from riskpanel.session import literal_table
+from riskpanel.session import literal_table, materialize
 
 # Names in the county case table that are not states.
 EXCLUDED = ("American Samoa", "Guam", "Northern Mariana Islands", "Puerto Rico Commonwealth", "Virgin Islands",
@@ -116,11 +116,13 @@ def clean_group_panel(
         "deaths_avg_per_100k": rules.rate("deaths_avg", pop),
         "POPESTIMATE2019": F.col(pop),
     })
-    ranks = _population_ranks(d, rules)
+    # The raw case table is read once: ranks, weights and the panel all start from the area-day table.
+    area_days = materialize(d, "group_days")
+    ranks = _population_ranks(area_days, rules)
     # Counties without a group number form their own group on both sides.
-    d = J.lookup_null_safe(d, h, {"health_service_area_number": "health_service_area_number", "ymd": "date"}, _HOSPITAL)
+    d = J.lookup_null_safe(area_days, h, {"health_service_area_number": "health_service_area_number", "ymd": "date"}, _HOSPITAL)
     d = daily_features(_filled(d), "health_service_area_number", rules)
-    weekly = weekly_outcomes(d, "health_service_area_number", rules, icu_days=7)
+    weekly = weekly_outcomes(d, "health_service_area_number", rules, 7, area_days)
     weekly = weekly.withColumn("state", F.col("health_service_area_number"))
     return J.lookup_left(weekly, ranks, {"POPESTIMATE2019": "POPESTIMATE2019"}, ["county_rank"])
 
@@ -157,9 +159,10 @@ def clean_member_panel(
         "cases_avg_per_100k": rules.rate("cases_avg", "POPESTIMATE2019"),
         "deaths_avg_per_100k": rules.rate("deaths_avg", "POPESTIMATE2019"),
     })
-    ranks = _population_ranks(d, rules)
-    d = J.lookup_left(d, h, {"fips": "fips", "ymd": "date"}, ["health_service_area_population", *_HOSPITAL])
+    area_days = materialize(d, "member_days")
+    ranks = _population_ranks(area_days, rules)
+    d = J.lookup_left(area_days, h, {"fips": "fips", "ymd": "date"}, ["health_service_area_population", *_HOSPITAL])
     d = daily_features(_filled(d), "fips", rules)
-    weekly = weekly_outcomes(d, "fips", rules, icu_days=7).withColumn("state", F.col("fips"))
+    weekly = weekly_outcomes(d, "fips", rules, 7, area_days).withColumn("state", F.col("fips"))
     weekly = J.lookup_left(weekly, ranks, {"POPESTIMATE2019": "POPESTIMATE2019"}, ["county_rank"])
     return weekly.where(C.not_in("fips", without_group))

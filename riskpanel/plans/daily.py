@@ -59,10 +59,11 @@ def daily_features(df: DataFrame, area: str, rules: CleaningRules) -> DataFrame:
     return out.where(F.col("ymd") >= F.lit(rules.filter_date).cast("date"))
 
 
-def weekly_outcomes(df: DataFrame, area: str, rules: CleaningRules, icu_days: int) -> DataFrame:
+def weekly_outcomes(df: DataFrame, area: str, rules: CleaningRules, icu_days: int, area_days: DataFrame) -> DataFrame:
     """Wednesday rows with weekly measures, outcome labels, changes and weights.
 
     ``icu_days`` is 7 where intensive care is a daily average and 1 where it is already on the weekly scale.
+    ``area_days`` is the stored area-day table behind ``df``; the population totals per date come from it.
     """
     weekly = df.where(is_wednesday(F.col("ymd")))
     if rules.weekly_start:
@@ -92,4 +93,4 @@ def weekly_outcomes(df: DataFrame, area: str, rules: CleaningRules, icu_days: in
         "zeke_time_3_14d": F.col("deaths_21_lag_100k_14d") > 2,
         "two_zeke_time_3_14d": F.col("deaths_21_lag_100k_14d") > 4,
     })
-    return date_weights(labelled)
+    return date_weights(labelled, source=area_days)

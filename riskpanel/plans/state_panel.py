@@ -65,8 +65,8 @@ def clean_state_panel(
     """The labelled weekly panel of states."""
     h = hospital_features(hospital, rules)
     known = lookup_inner(cases, census, {"state": "NAME"}, ["POPESTIMATE2019", "ABBR"])
-    d = with_calendar(known.where(C.not_in("state", excluded)))
-    d = lookup_left(d, h, {"ABBR": "state", "ymd": "date"}, ["admits_confirmed_avg", "perc_covid", "icu_confirmed_avg"])
+    area_days = with_calendar(known.where(C.not_in("state", excluded)))
+    d = lookup_left(area_days, h, {"ABBR": "state", "ymd": "date"}, ["admits_confirmed_avg", "perc_covid", "icu_confirmed_avg"])
     d = d.withColumns({
         "admits_confirmed_100K": rules.rate("admits_confirmed_avg", "POPESTIMATE2019"),
         "icu_100K": rules.rate("icu_confirmed_avg", "POPESTIMATE2019"),
@@ -76,7 +76,7 @@ def clean_state_panel(
         "cases_avg_per_100k": C.patched("Statewide", "cases_avg_per_100k"),
         "perc_covid": C.zero_if_missing("perc_covid"),
     })
-    weekly = weekly_outcomes(daily_features(d, "state", rules), "state", rules, icu_days=1)
+    weekly = weekly_outcomes(daily_features(d, "state", rules), "state", rules, 1, area_days)
     return weekly.withColumns({
         "cfr_in_21d": F.try_divide("deaths_weekly", "cases_weekly") * 100,
         "zeke_time_0": F.col("deaths_now_weekly") > 1,
