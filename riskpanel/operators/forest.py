@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -46,7 +48,8 @@ def forest_scores(
 ) -> DataFrame:
     """Predicted probability per test row. With more than one ``mtry`` candidate, 5-fold cross-validation picks.
 
-    A training set with a single label predicts that label; one without rows predicts NULL.
+    A training set with a single label predicts that label; one without rows predicts NULL, and so does a test row
+    that lacks a feature.
     """
     vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     prepared = rows.withColumns({"label": F.col("outcome_value").cast("double"), "w": F.col(weight)})
@@ -65,9 +68,11 @@ def forest_scores(
                 out.append(test.withColumn("pred", F.lit(lo).cast("double")))
                 continue
             model = _fit(vectors.transform(train), mtry, min(mtry, len(features)), n_trees, max_depth, seed)
-            scored = model.transform(vectors.setHandleInvalid("skip").transform(test))
-            probability = vector_to_array("probability")[1]
-            out.append(scored.withColumn("pred", probability).select(*test.columns, "pred"))
+            # The assembler skips rows that lack a feature; they are added back without a prediction.
+            scored = model.transform(vectors.transform(test))
+            out.append(scored.withColumn("pred", vector_to_array("probability")[1]).select(*test.columns, "pred"))
+            lacking = reduce(or_, [F.col(f).isNull() for f in features])
+            out.append(test.where(lacking).withColumn("pred", F.lit(None).cast("double")))
     return stack(out).drop("label", "w")
 
 
