@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from riskpanel.llm import bpe, quality
+from pyspark.sql import functions as F
+
+from riskpanel.llm import bpe, minhash, quality, topk
 from riskpanel.llm.common import table
 
 QUERIES = {}
 ORACLES = {}
 
 
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) > 16384)) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
@@ -31,6 +44,16 @@ def op2(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op4_top_k_search", TOP_K_SQL)
+def op4(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearParams(words=3, percent=85))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
