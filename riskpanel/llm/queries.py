@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from pyspark.sql import functions as F
 
-from riskpanel.llm import bpe, minhash, quality, topk
+from riskpanel.llm import bpe, lines, minhash, quality, sharding, topk
 from riskpanel.llm.common import table
 
 QUERIES = {}
@@ -49,6 +49,16 @@ def op4(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query("op6_line_dedup", lines.report_sql())
+def op6(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sharding", sharding.place_sql())
+def op7(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"))).select("doc_id", "slot", "shard")
+
+
 @query("op8_minhash_near_dedup")
 def op8(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearParams(words=3, percent=85))
