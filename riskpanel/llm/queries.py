@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from pyspark.sql import functions as F
 
-from riskpanel.llm import bpe, lines, minhash, quality, sharding, topk
+from riskpanel.llm import bpe, lines, minhash, pii, quality, sharding, topk
 from riskpanel.llm.common import table
 
 QUERIES = {}
@@ -49,6 +49,11 @@ def op4(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query("op5_pii_pseudonyms")
+def op5(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query("op6_line_dedup", lines.report_sql())
 def op6(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
