@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from pyspark.sql import functions as F
 
-from riskpanel.llm import bpe, lines, minhash, pii, quality, sharding, topk
+from riskpanel.llm import bpe, lines, minhash, mixing, pii, quality, sharding, topk
 from riskpanel.llm.common import table
 
 QUERIES = {}
@@ -69,6 +69,11 @@ def op8(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearParams(words=3, percent=85))
 
 
+@query("op9_source_mixing", mixing.report_sql())
+def op9(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
