@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from pyspark.sql import functions as F
 
-from riskpanel.llm import bpe, lines, minhash, mixing, pii, quality, sharding, topk
+from riskpanel.llm import bpe, chat, lines, minhash, mixing, pii, quality, sharding, topk
 from riskpanel.llm.common import table
 
 QUERIES = {}
@@ -74,6 +74,11 @@ def op9(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query("op10_chat_formatting", chat.render_sql())
+def op10(spark, sf_dir):
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
