@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from pyspark.sql import functions as F
 
-from riskpanel.llm import bpe, chat, lines, minhash, mixing, pii, quality, sharding, topk
+from riskpanel.llm import bpe, chat, lines, minhash, mixing, pii, quality, sharding, topk, toxicity
 from riskpanel.llm.common import table
 
 QUERIES = {}
@@ -44,6 +44,11 @@ def op2(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_top_k_search", TOP_K_SQL)
 def op4(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
