@@ -43,7 +43,7 @@ class ToxicityParams:
     least_texts: int = 5  # distinctive: in so many texts of its class,
     least_share: float = 0.015  # and in such a share of them,
     ratio: float = 30.0  # and there so many times as frequent as in the other class
-    calibration_share: float = 0.35
+    folds: int = 3
     l2: float = 1e-3
 
 
@@ -97,43 +97,47 @@ def cut(listed: list[bytes], size: int) -> bytes:
     return (b" " + b" ".join(listed) + b" ")[-size:]
 
 
-def train(texts: list[str], toxic: np.ndarray, order: np.ndarray, params: ToxicityParams) -> ToxicityModel:
-    """``order`` in [0, 1) assigns each text to the dictionaries or, below ``calibration_share``, to the calibration."""
-    empty = ToxicityModel(b" ", b" ", np.array([-1e9]), np.zeros(0), np.ones(0), params)
-    build = order >= params.calibration_share
+def dictionaries(found: list[list[bytes]], toxic: np.ndarray, params: ToxicityParams) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) content from the words of labelled texts."""
     counts = {label: Counter() for label in (0, 1)}
-    found = [words(t) for t in texts]
-    for w, label, use in zip(found, toxic, build, strict=True):
-        if use:
-            counts[int(label)].update(set(w))
-    n = {label: int((build & (toxic == label)).sum()) for label in (0, 1)}
-    if not (n[0] and n[1] and len(set(toxic[~build])) == 2):
-        return empty
+    for w, label in zip(found, toxic, strict=True):
+        counts[int(label)].update(set(w))
+    n = {label: int((toxic == label).sum()) for label in (0, 1)}
     listed = distinctive(counts[1], n[1], counts[0], n[0], params)
     toxic_part = cut(listed, params.own_bytes)
-    ordinary_words = [w for w in distinctive(counts[0], n[0], counts[1], n[1], params)][-len(listed):] if listed else []
-    ordinary_part = cut(ordinary_words, params.own_bytes)
+    ordinary_part = cut(distinctive(counts[0], n[0], counts[1], n[1], params)[-len(listed):] if listed else [], params.own_bytes)
     # zstandard's trainer picks the shared part from ordinary words, one sample for each text that has the word.
-    samples = [b" " + w + b" " for f, label, use in zip(found, toxic, build, strict=True) if use and label == 0 for w in dict.fromkeys(f)]
+    samples = [b" " + w + b" " for f, label in zip(found, toxic, strict=True) if label == 0 for w in dict.fromkeys(f)]
     try:
         shared = zstandard.train_dictionary(params.shared_bytes, samples, k=16, d=6).as_bytes()
     except zstandard.ZstdError:  # too few samples for the trainer: the samples themselves
         shared = b"".join(samples)[-params.shared_bytes:]
     fill = b" " * max(0, len(toxic_part) - len(ordinary_part))
-    model = ToxicityModel(shared + fill + ordinary_part, shared + toxic_part, np.zeros(0), np.zeros(0), np.ones(0), params)
-    distance = Distance(model.ordinary, model.toxic, params)
-    x = np.array([distance.features(t) for t, use in zip(texts, build, strict=True) if not use])
-    y = toxic[~build].astype(float)
-    model.centre, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    x = np.hstack([(x - model.centre) / model.spread, np.ones((len(x), 1))])
+    return shared + fill + ordinary_part, shared + toxic_part
+
+
+def train(texts: list[str], toxic: np.ndarray, fold: np.ndarray, params: ToxicityParams) -> ToxicityModel:
+    """Each fold is scored with dictionaries trained on the others, which calibrates; the dictionaries of the model are trained on all."""
+    found = [words(t) for t in texts]
+    xs, ys = [], []
+    for f in sorted(set(fold.tolist())):
+        rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if len(set(toxic[rest].tolist())) == 2:
+            distance = Distance(*dictionaries([found[i] for i in rest], toxic[rest], params), params)
+            xs += [distance.features(texts[i]) for i in own]
+            ys += [toxic[i] for i in own]
+    if len(set(ys)) < 2:
+        return ToxicityModel(b" ", b" ", np.array([-1e9]), np.zeros(0), np.ones(0), params)
+    x, y = np.array(xs), np.array(ys, float)
+    centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    x = np.hstack([(x - centre) / spread, np.ones((len(x), 1))])
     b = np.zeros(x.shape[1])
     for _ in range(60):  # Newton steps, damped by the penalty
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         ridge = params.l2 * len(x) * np.eye(len(b))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ b)
         b -= step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
-    model.weights = b
-    return model
+    return ToxicityModel(*dictionaries(found, toxic, params), b, centre, spread, params)
 
 
 class Scorer:
@@ -164,17 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         sample = part if sample is None else sample.unionAll(part)
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")  # bounded by the parameters
-        .select("text", "toxic", (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1000)) / 1000).alias("place")).distinct().repartition(1)
+        .select("text", "toxic", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(params.folds)).alias("fold")).distinct().repartition(1)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in b.to_pylist()]
-        got.sort(key=lambda r: (r["place"], r["text"], r["toxic"]))
-        model = train([r["text"] for r in got], np.array([r["toxic"] for r in got]), np.array([r["place"] for r in got]), params)
+        got.sort(key=lambda r: (r["fold"], r["text"], r["toxic"]))
+        model = train([r["text"] for r in got], np.array([r["toxic"] for r in got]), np.array([r["fold"] for r in got]), params)
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
 
     found = rows.mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, int), np.zeros(0), params)
+    return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, int), np.zeros(0, int), params)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
