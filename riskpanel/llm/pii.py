@@ -8,7 +8,7 @@ and equal values get equal pseudonyms in all documents, which stay linked; witho
 kind         valid if                                                 permuted
 ============ ======================================================== =========================================================
 card         13 to 19 digits, plain or 4-4-4-4, check digit right     all digits but the first and the last, which is recomputed
-phone        ten digits with optional +1, area and exchange from 200  the 800 * 800 * 10,000 numbers
+phone        ten digits with separators, optional +1                  numbers whose area and exchange are both, one or none from 200
 ip           four octets without leading zeros                        the 2^32 addresses
 ssn          ddd-dd-dddd, no part zero, area not 666 and below 900    the 898 * 99 * 9,999 numbers
 date         y-m-d, y/m/d, d.m.y or d/m/y, two-digit d and m,         the 73,049 days of 1900 to 2099
@@ -39,7 +39,7 @@ CANDIDATE = f"{EMAIL}|(?:[+]1[ .-]?)?[(][0-9]{{3}}[)][ .-]?[0-9]{{3}}[ .-]{RUN}|
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^{OCTET}[.]{OCTET}[.]{OCTET}[.]{OCTET}$"
 CARD = rf"^(?:[0-9]{{13,19}}|{SPACED_CARD}|{SPACED_CARD.replace(' ', '-')})$"
-PHONE_PARTS = r"^((?:[+]1[ .-]?)?[(]?)([2-9][0-9][0-9])([)]?[ .-]?)([2-9][0-9][0-9])([ .-])([0-9]{4})$"
+PHONE_PARTS = r"^((?:[+]1[ .-]?)?[(]?)([0-9]{3})([)]?[ .-]?)([0-9]{3})([ .-])([0-9]{4})$"
 SSN = r"^([0-9]{3})-([0-9]{2})-([0-9]{4})$"
 YMD = r"^([0-9]{4})([-/])([0-9]{2})([-/])([0-9]{2})$"
 DMY = r"^([0-9]{2})([./])([0-9]{2})([./])([0-9]{4})$"
@@ -153,7 +153,9 @@ def pseudonym(m: Column, k: Column, key: str) -> Column:
     ip = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
     area, exchange, line = (_long(_group(m, PHONE_PARTS, i)) for i in (2, 4, 6))
     high = F.floor(line / 100)
-    phone = feistel((area - 200) * 100 + high, (exchange - 200) * 100 + line % 100, F.lit(80000), F.lit(80000), key, "phone")
+    low = lambda c: F.when(c >= 200, 200).otherwise(0)  # noqa: E731  real codes start at 200; others stay others
+    span = lambda c: F.when(c >= 200, 800).otherwise(200) * 100
+    phone = feistel((area - low(area)) * 100 + high, (exchange - low(exchange)) * 100 + line % 100, span(area), span(exchange), key, "phone")
     part = lambda i: _group(m, PHONE_PARTS, i)
     number = _long(_group(m, SSN, 1))
     ssn = feistel((number - 1 - F.when(number > 666, 1).otherwise(0)) * 99 + _long(_group(m, SSN, 2)) - 1, _long(_group(m, SSN, 3)) - 1,
@@ -179,7 +181,7 @@ def pseudonym(m: Column, k: Column, key: str) -> Column:
         .when(k == "card", bind(mixed, card))
         .when(k == "ip", bind(ip, lambda s: F.concat_ws(".", F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)))
         .when(k == "phone", bind(phone, lambda s: F.concat(
-            part(1), (F.floor(s["l"] / 100) + 200).cast("string"), part(3), (F.floor(s["r"] / 100) + 200).cast("string"), part(5),
+            part(1), pad(F.floor(s["l"] / 100) + low(area), 3), part(3), pad(F.floor(s["r"] / 100) + low(exchange), 3), part(5),
             pad((s["l"] % 100) * 100 + s["r"] % 100, 4))))
         .when(k == "ssn", bind(ssn, write_ssn)).when(k == "date", bind(date, write_date)).otherwise(m)
     )
@@ -214,3 +216,76 @@ def report(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     count = lambda k: F.coalesce(F.size(F.filter("_found", lambda s: s["kind"] == k)), F.lit(0))
     counts = [F.when(F.col("_found").isNull(), 0).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.col("_text").alias("text"))
+
+
+def report_sql(params: PiiParams = PiiParams()) -> str:
+    """The same as ``report`` in SQL, with a step per turn of the networks."""
+    key = params.key
+    g = lambda pattern, i: f"regexp_extract(m, '{pattern}', {i})"
+    n = lambda pattern, i: f"CAST({g(pattern, i)} AS BIGINT)"
+    low = lambda c: f"CASE WHEN {c} >= 200 THEN 200 ELSE 0 END"
+    span = lambda c: f"CASE WHEN {c} >= 200 THEN 80000 ELSE 20000 END"
+    luhn_of = lambda c: (
+        f"coalesce(list_sum(list_transform(range(0, length({c})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({c}, length({c}) - i, 1) AS BIGINT) "
+        f"ELSE (2 * CAST(substr({c}, length({c}) - i, 1) AS BIGINT)) % 10 + (2 * CAST(substr({c}, length({c}) - i, 1) AS BIGINT)) // 10 END)), 0)")
+    area, exchange, line = (n(PHONE_PARTS, i) for i in (2, 4, 6))
+    number = n(SSN, 1)
+    hashed = lambda tag, turn, v: f"sha256('{key}|' || {tag} || '|{turn}|' || {v})"
+    turns, letters = [], []
+    for i in range(ROUNDS):
+        shift = f"CAST('0x' || substr({hashed('kind', i, 'l' if i % 2 else 'r')}, 1, 15) AS BIGINT)"
+        turns.append(f"x{i + 1} AS (SELECT m, kind, digits, a, b, {'l' if i % 2 else f'(l + {shift}) % a'} AS l, {f'(r + {shift}) % b' if i % 2 else 'r'} AS r FROM x{i})")
+        half, other = ("r", "l") if i % 2 else ("l", "r")
+        c, by = "ascii(substr(h, i, 1))", "CAST('0x' || substr(d, 2 * ((i - 1) % 32) + 1, 2) AS INTEGER)"
+        one = " ".join(f"WHEN {c} BETWEEN {base} AND {base + size - 1} THEN chr(CAST({base} + ({c} - {base} + {by}) % {size} AS INTEGER))"
+                       for base, size in ((48, 10), (65, 26), (97, 26)))
+        moved = f"coalesce(array_to_string(list_transform(range(1, length(h) + 1), lambda i: CASE {one} ELSE substr(h, i, 1) END), ''), '')"
+        letters.append(f"y{i + 1} AS (SELECT m, {'l' if i % 2 else moved} AS l, {moved if i % 2 else 'r'} AS r FROM "
+                       f"(SELECT *, {half} AS h, {hashed(chr(39) + 'email' + chr(39), i, other)} AS d FROM y{i}))")
+    body = "substr(digits, 1, 1) || lpad(CAST(l AS VARCHAR), CAST(la AS INTEGER), '0') || lpad(CAST(r AS VARCHAR), CAST(lb AS INTEGER), '0')"
+    ymd, dmy = f"regexp_matches(m, '{YMD}')", f"regexp_matches(m, '{DMY}')"
+    counts = ", ".join(f"CAST(len(list_filter(ms, lambda x: kinds[x] = '{k}')) AS BIGINT) AS n_{k}" for k in KINDS)
+    return f"""
+WITH d AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[0-9@]') THEN regexp_extract_all(text, '{CANDIDATE}') ELSE [] END AS ms FROM documents),
+c AS (SELECT DISTINCT unnest(ms) AS m FROM d),
+v AS (SELECT m, regexp_replace(m, '[ -]', '', 'g') AS digits,
+      CASE WHEN {ymd} AND {g(YMD, 2)} = {g(YMD, 4)} THEN TRY_CAST({g(YMD, 1)} || '-' || {g(YMD, 3)} || '-' || {g(YMD, 5)} AS DATE)
+           WHEN {dmy} AND {g(DMY, 2)} = {g(DMY, 4)} THEN TRY_CAST({g(DMY, 5)} || '-' || {g(DMY, 3)} || '-' || {g(DMY, 1)} AS DATE) END AS day FROM c),
+k AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(m, '^{EMAIL}$') THEN 'email'
+      WHEN regexp_matches(m, '{CARD}') THEN CASE WHEN {luhn_of('digits')} % 10 = 0 THEN 'card' END
+      WHEN regexp_matches(m, '{IP}') THEN 'ip'
+      WHEN regexp_matches(m, '{SSN}') THEN CASE WHEN {g(SSN, 1)} NOT IN ('000', '666') AND {g(SSN, 1)} < '900' AND {g(SSN, 2)} <> '00' AND {g(SSN, 3)} <> '0000' THEN 'ssn' END
+      WHEN regexp_matches(m, '{PHONE_PARTS}') AND regexp_matches(m, '^{PHONE}$') THEN 'phone'
+      WHEN day BETWEEN DATE '1900-01-01' AND DATE '2099-12-31' THEN 'date' END AS kind FROM v),
+x0 AS MATERIALIZED (
+  SELECT m, kind, digits, CAST(rpad('1', CAST(la + 1 AS INTEGER), '0') AS BIGINT) AS a, CAST(rpad('1', CAST(lb + 1 AS INTEGER), '0') AS BIGINT) AS b,
+    CAST(substr(digits, 2, la) AS BIGINT) AS l, CAST(substr(digits, la + 2, lb) AS BIGINT) AS r
+  FROM (SELECT *, (length(digits) - 2) // 2 AS la, length(digits) - 2 - (length(digits) - 2) // 2 AS lb FROM k WHERE kind = 'card')
+  UNION ALL SELECT m, kind, digits, 65536, 65536, {n(IP, 1)} * 256 + {n(IP, 2)}, {n(IP, 3)} * 256 + {n(IP, 4)} FROM k WHERE kind = 'ip'
+  UNION ALL SELECT m, kind, digits, {span(area)}, {span(exchange)}, ({area} - {low(area)}) * 100 + {line} // 100, ({exchange} - {low(exchange)}) * 100 + {line} % 100
+    FROM k WHERE kind = 'phone'
+  UNION ALL SELECT m, kind, digits, {898 * 99}, 9999, ({number} - 1 - CASE WHEN {number} > 666 THEN 1 ELSE 0 END) * 99 + {n(SSN, 2)} - 1, {n(SSN, 3)} - 1 FROM k WHERE kind = 'ssn'
+  UNION ALL SELECT m, kind, digits, {DAYS[0]}, {DAYS[1]}, (day - DATE '1900-01-01') // {DAYS[1]}, (day - DATE '1900-01-01') % {DAYS[1]} FROM k WHERE kind = 'date'),
+{", ".join(turns)},
+y0 AS MATERIALIZED (SELECT m, substr(o, 1, length(o) // 2) AS l, substr(o, length(o) // 2 + 1) AS r FROM (SELECT m, split_part(m, '@', 1) AS o FROM k WHERE kind = 'email')),
+{", ".join(letters)},
+z AS (SELECT *, (length(digits) - 2) // 2 AS la, length(digits) - 2 - (length(digits) - 2) // 2 AS lb FROM x{ROUNDS}),
+w AS (SELECT *, CASE WHEN kind = 'card' THEN {body} || CAST((10 - {luhn_of("(" + body + " || '0')")} % 10) % 10 AS VARCHAR) END AS whole,
+      CASE WHEN kind = 'date' THEN DATE '1900-01-01' + CAST(l * {DAYS[1]} + r AS INTEGER) END AS day FROM z),
+p AS (SELECT m, kind, CASE kind
+      WHEN 'card' THEN CASE WHEN regexp_matches(m, '[ -]') THEN substr(whole, 1, 4) || substr(m, 5, 1) || substr(whole, 5, 4) || substr(m, 5, 1) || substr(whole, 9, 4)
+        || substr(m, 5, 1) || substr(whole, 13, 4) ELSE whole END
+      WHEN 'ip' THEN l // 256 || '.' || l % 256 || '.' || r // 256 || '.' || r % 256
+      WHEN 'phone' THEN {g(PHONE_PARTS, 1)} || lpad(CAST(l // 100 + {low(area)} AS VARCHAR), 3, '0') || {g(PHONE_PARTS, 3)}
+        || lpad(CAST(r // 100 + {low(exchange)} AS VARCHAR), 3, '0') || {g(PHONE_PARTS, 5)} || lpad(CAST((l % 100) * 100 + r % 100 AS VARCHAR), 4, '0')
+      WHEN 'ssn' THEN lpad(CAST(l // 99 + 1 + CASE WHEN l // 99 + 1 >= 666 THEN 1 ELSE 0 END AS VARCHAR), 3, '0') || '-' || lpad(CAST(l % 99 + 1 AS VARCHAR), 2, '0')
+        || '-' || lpad(CAST(r + 1 AS VARCHAR), 4, '0')
+      WHEN 'date' THEN CASE WHEN {ymd} THEN replace(strftime(day, '%Y-%m-%d'), '-', substr(m, 5, 1))
+        ELSE replace(strftime(day, '%d-%m-%Y'), '-', substr(m, 3, 1)) END END AS word FROM w
+  UNION ALL SELECT m, 'email', l || r || substr(m, length(l || r) + 1) FROM y{ROUNDS}
+  UNION ALL SELECT m, '', m FROM k WHERE kind IS NULL),
+q AS (SELECT map(list(m), list(word)) AS words, map(list(m), list(kind)) AS kinds FROM p)
+SELECT doc_id, {counts}, CASE WHEN len(list_filter(ms, lambda x: kinds[x] <> '')) = 0 OR text IS NULL THEN text ELSE
+  array_to_string(list_transform(range(1, 2 * len(ms) + 2), lambda i: CASE WHEN i % 2 = 0 THEN words[ms[i // 2]]
+    ELSE regexp_split_to_array(text, '{CANDIDATE}')[i // 2 + 1] END), '') END AS text FROM d, q
+"""

@@ -54,7 +54,7 @@ def op4(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-@query("op5_pii_pseudonyms")
+@query("op5_pii_pseudonyms", pii.report_sql())
 def op5(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
