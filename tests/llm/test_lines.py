@@ -13,10 +13,18 @@ def test_awkward_rows_match_sql(spark, awkward, same_as_sql):
 def test_repeated_chunks_go_once(spark, awkward):
     rows = {r.doc_id: r for r in lines.report(awkward).collect() if r.doc_id is not None}
     assert rows[6].n_cut_lines == 0 and rows[7].n_cut_lines > 18000  # chunks of one line and the last stay
-    assert rows[9].n_cut_lines + rows[10].n_cut_lines > 0 and rows[1].n_cut_lines == 0
+    assert rows[1].n_cut_lines == 0 and rows[2].n_cut_lines == 0  # one line is no chunk
     assert rows[3].text is None and rows[4].text == "" and rows[3].n_lines == 0
 
 
+def test_hot_passage_stays_in_one_document(spark):
+    passage = [f"passage line {i} that all documents share" for i in range(40)]
+    texts = ["\n".join([f"head {i}", f"of {i * i}", *passage, f"end {i}", f"tail {i + 7}"]) for i in range(300)]
+    rows = lines.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).orderBy("doc_id").collect()
+    assert rows[0].n_cut_lines == 0 and all(r.n_cut_lines == rows[1].n_cut_lines > 25 for r in rows[1:])
+    assert all(r.text.startswith(f"head {i}\nof {i * i}\n") and r.text.endswith(f"end {i}\ntail {i + 7}") for i, r in enumerate(rows))
+
+
 def test_an_inserted_line_shifts_no_boundary(spark):
     common = [f"common line {i * i} with some words" for i in range(60)]
     texts = ["\n".join(common), "\n".join(["something else"] + common[:30] + ["inserted"] + common[30:])]
