@@ -247,12 +247,12 @@ def score(rows: DataFrame, fits: DataFrame) -> DataFrame:
     eta = F.col("b0")
     for (f, c), b in zip(FEATURES.items(), _B[1:], strict=True):
         eta = eta + F.when(F.col(f"m_{f}"), F.col(b) * F.col(c)).otherwise(0.0)
-    side = fits.where("state <> 'empty'").select(
-        "spec", "weeks", F.col("outcome_label").alias("k_outcome"), F.col("end_date").alias("test_date"),
+    side = fits.select(
+        F.when(F.col("state") != "empty", True).alias("fitted"), "spec", "weeks", F.col("outcome_label").alias("k_outcome"), F.col("end_date").alias("test_date"),
         "n_train", *_M, *_B,
     )
     joined = rows.join(side, (F.col("outcome_label") == F.col("k_outcome")) & (F.col("ymd") == F.col("test_date")))
-    return joined.withColumn("pred", 1 / (1 + F.exp(-eta))).drop("k_outcome", *_M, *_B)
+    return joined.withColumn("pred", F.when(F.col("fitted"), 1 / (1 + F.exp(-eta)))).drop("fitted", "k_outcome", *_M, *_B)
 
 
 def predicted_class(pred: Column, mult: Column | float) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskpanel.functions.labels import OUTCOME_NAMES
+from riskpanel.operators import logistic as L
 from riskpanel.operators import rules as R
 from riskpanel.operators import scoring as S
 from riskpanel.operators import selection as V
@@ -20,11 +22,10 @@ from riskpanel.sources import tables as IO
 
 QUARTERS = [*X.TRAIN_QUARTERS, *X.TEST_QUARTERS]
 _GRIDS = list(X.GRIDS.values())
-_ONE = ("Adaptive: H", "Adaptive: C")
-_OTHERS = ("Community level", "Z", "Prevalence", *_ONE)
+_OTHERS = ("Community level", "Z", "Prevalence", *M.DEFAULT_NAMES)
 
 
-def metric_rows(spark, sf_dir, specs=_ONE):
+def metric_rows(spark, sf_dir, specs=tuple(M.DEFAULT_NAMES)):
     """The stored metric table: static rules of every type, baselines, prevalence and the refitted models."""
     def build():
         p = X.panel(spark, sf_dir)
@@ -38,7 +39,12 @@ def metric_rows(spark, sf_dir, specs=_ONE):
 
 
 _BY = "type, var, kind, outcome_label, quarter, lab, mult"
-METRICS = f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {M.newton_sql(('h', 'c'))}, {X.PREFS_SQL},
+def metrics_sql(specs=L.DEFAULT_SPECS) -> str:
+    scored = f"{M.scored_sql(specs)}," if specs else ""
+    adaptive = """
+  UNION ALL SELECT 'H', spec, 'adaptive', ymd, quarter_label, outcome_label, weight, y,
+    CAST(pred >= 1 / (1 + mult) AS DOUBLE), lab, mult FROM scored CROSS JOIN prefs""" if specs else ""
+    return f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {scored} {X.PREFS_SQL},
 {X.rule_values_sql().replace('valued AS', 'static AS')},
 valued AS (
   SELECT type, CASE var WHEN 'cdc_flag' THEN 'Community level' WHEN 'current_zeke' THEN 'Z' ELSE var END AS var,
@@ -46,9 +52,7 @@ valued AS (
     ymd, quarter_label, outcome_label, weight, y, v, lab, mult FROM static CROSS JOIN prefs
   UNION ALL SELECT 'Prev', 'Prevalence', 'prevalence', ymd, quarter_label, outcome_label, weight, y,
     CAST(cases_weekly >= 0 AND admits_weekly >= 0 AND perc_covid_100 >= 0 AS DOUBLE), lab, 1e0
-    FROM long CROSS JOIN prefs WHERE {X.IN_RANGE}
-  UNION ALL SELECT 'H', spec, 'adaptive', ymd, quarter_label, outcome_label, weight, y,
-    CAST(pred >= 1 / (1 + mult) AS DOUBLE), lab, mult FROM scored CROSS JOIN prefs),
+    FROM long CROSS JOIN prefs WHERE {X.IN_RANGE}{adaptive}),
 metrics AS MATERIALIZED ({X.confusion_sql(X.PERIODS_SQL, _BY, 'mult')}),
 t AS MATERIALIZED (SELECT *, {X.LAB2_SQL} AS lab2, round(w_acc, 9) AS score FROM metrics),
 tr AS (SELECT lab, lab2, type, kind, var, score AS training FROM t WHERE quarter = 'Training'),
@@ -56,6 +60,10 @@ best AS MATERIALIZED (SELECT *, kind = 'static' AND training = max(training) OVE
   AS best FROM tr)"""
 
 
+METRICS = metrics_sql()
+STATIC = metrics_sql(())  # for reports of static rules only
+
+
 @query("best_static_table", METRICS + """
 SELECT 'States' AS level, lab, lab2, type, var FROM best WHERE best AND lab2 IN ('>1 death/100K/wk', '>2 deaths/100K/wk')""")
 def best_static_table(spark, sf_dir):
@@ -68,7 +76,7 @@ def best_static_table(spark, sf_dir):
 
 
 def _comparison_sql(outcomes, keep):
-    names = ", ".join(f"'{X_LAB2[o]}'" for o in outcomes)
+    names = ", ".join(f"'{OUTCOME_NAMES[o]}'" for o in outcomes)
     return f"""
 kept AS MATERIALIZED (SELECT t.lab, t.lab2, CASE WHEN t.kind = 'static' THEN t.type ELSE t.var END AS var, t.quarter AS period,
   CASE WHEN score * 100 < 0 THEN 0 ELSE round_even(score * 100, 0) END AS value
@@ -76,15 +84,13 @@ kept AS MATERIALIZED (SELECT t.lab, t.lab2, CASE WHEN t.kind = 'static' THEN t.t
   WHERE t.lab2 IN ({names}) AND ({keep}))"""
 
 
-X_LAB2 = {"zeke_time_3": ">1 death/100K/wk", "two_zeke_time_3": ">2 deaths/100K/wk",
-          "icu_2_time_3": ">2 ICU patients/100K/wk", "perc_covid_10_time_3": ">10% inpatient bed occupancy"}
 _KEEP = "b.best OR (t.kind <> 'static' AND t.var IN (" + ", ".join(f"'{v}'" for v in _OTHERS) + "))"
 _TRAIN = ", ".join(f"'{q}'" for q in X.TRAIN_QUARTERS)
 _TEST = ", ".join(f"'{q}'" for q in X.TEST_QUARTERS)
 
 
-def _regret_sql(keep):
-    return f"""{METRICS}, {_comparison_sql(P.MORTALITY, keep)},
+def _regret_sql(keep, outcomes=P.MORTALITY, metrics=METRICS):
+    return f"""{metrics}, {_comparison_sql(outcomes, keep)},
 r AS (SELECT *, max(value) OVER (PARTITION BY lab, lab2, period) - value AS regret,
   CASE WHEN period IN ({_TRAIN}) THEN 'Training MR' WHEN period IN ({_TEST}) THEN 'Test MR' ELSE period END AS block FROM kept),
 m AS (SELECT *, max(regret) OVER (PARTITION BY lab, lab2, var, block) AS max_regret FROM r),
@@ -104,10 +110,10 @@ def max_regret(spark, sf_dir):
     return X.rounded(out.select("lab", "lab2", "var", "period", "block", "value", "regret", "max_regret", "fill"))
 
 
-@query("max_regret_adaptive", _regret_sql("t.kind = 'adaptive'"))
+@query("max_regret_adaptive", _regret_sql("t.kind = 'adaptive'", R.DEFAULT_OUTCOMES, metrics_sql(L.SPECS)))
 def max_regret_adaptive(spark, sf_dir):
-    """The same comparison among refitted models only."""
-    rows = metric_rows(spark, sf_dir).where(F.col("outcome_label").isin(*P.MORTALITY))
+    """The same comparison among all refitted models, for every outcome."""
+    rows = metric_rows(spark, sf_dir, [x.name for x in L.SPECS])
     out = V.max_regret(V.comparison_table(rows, QUARTERS, None), X.TRAIN_QUARTERS, X.TEST_QUARTERS)
     return X.rounded(out.select("lab", "lab2", "var", "period", "block", "value", "regret", "max_regret", "fill"))
 
@@ -130,7 +136,7 @@ SELECT lab2, outcome_label, quarter, var, kind AS rule_kind, training = max_trai
 FROM n WHERE quarter <> 'Training' AND type = 'H'""")
 def time_trend_table(spark, sf_dir):
     rows = metric_rows(spark, sf_dir).where("type = 'H'")
-    return X.rounded(V.time_trend(rows, _ONE, hidden=["0 6 0"]))
+    return X.rounded(V.time_trend(rows, M.DEFAULT_NAMES, hidden=["0 6 0"]))
 
 
 @query("pivot_periods", METRICS + """
@@ -142,7 +148,7 @@ def pivot_periods(spark, sf_dir):
     return X.rounded(to_wide(rows, ["type", "var", "lab2", "lab"], "quarter", "metric_value", list(V.SIDES)))
 
 
-@query("arg_best_rule", METRICS + """
+@query("arg_best_rule", STATIC + """
 SELECT quarter, lab2, round(max(score), 6) AS best_value, arg_min(var, (-score, var)) AS best_var,
   round(min(score), 6) AS worst_value, arg_min(var, (score, var)) AS worst_var
 FROM t WHERE lab = 'Neutral' AND type = 'H' AND kind = 'static' GROUP BY ALL""")
@@ -152,7 +158,7 @@ def arg_best_rule(spark, sf_dir):
     return X.rounded(V.best_and_worst(rows, ["quarter", "lab2"]))
 
 
-@query("agg_of_agg", METRICS + """,
+@query("agg_of_agg", STATIC + """,
 p AS (SELECT lab2, quarter, max(score) AS best, min(score) AS worst FROM t WHERE lab = 'Neutral' AND kind = 'static'
   AND quarter NOT IN ('Training', 'Test', 'Overall') GROUP BY ALL)
 SELECT lab2, round(min(best), 6) AS min_best, round(max(best), 6) AS max_best, round(min(worst), 6) AS min_worst,
@@ -167,7 +173,7 @@ def agg_of_agg(spark, sf_dir):
 _POINTS = "SELECT type, var, outcome_label, sens, spec FROM t WHERE quarter = 'Test' AND lab = 'Neutral' AND type IN ('HO', 'CHO')"
 
 
-@query("pareto_dominance", METRICS + f""",
+@query("pareto_dominance", STATIC + f""",
 p AS MATERIALIZED ({_POINTS})
 SELECT a.type, a.outcome_label, a.var, round(a.sens, 6) AS "Sensitivity", round(a.spec, 6) AS "Specificity",
   CAST((SELECT count(*) FROM p b WHERE b.type = a.type AND b.outcome_label = a.outcome_label
@@ -179,7 +185,9 @@ def pareto_dominance(spark, sf_dir):
 
 
 _CHOSEN = {"HO": {"zeke_time_3": "0 2 5", "two_zeke_time_3": "0 4 5"}, "CHO": {"zeke_time_3": "2 2 5", "two_zeke_time_3": "3 4 5"}}
-_BLOCKED = {"zeke_time_3": (15, 1 / 7, 1 / 5, 1 / 10), "two_zeke_time_3": (1 / 2, 1 / 3, 15, 10)}
+# Cost ratios that the plot leaves out, by outcome.
+_BLOCKED = {"zeke_time_3": (15, 1 / 7, 1 / 5, 1 / 10, 1 / 2, 1 / 3, 1 / 20),
+            "two_zeke_time_3": (1 / 2, 1 / 3, 15, 1 / 15, 1 / 5, 3, 7, 10, 1 / 10, 1 / 7)}
 _PICK = " OR ".join(f"(type = '{k}' AND outcome_label = '{o}' AND var = '{v}')" for k, d in _CHOSEN.items() for o, v in d.items())
 _HIDE = " OR ".join(
     f"(outcome_label = '{o}' AND mult IN ({', '.join(f'CAST({float(c)!r} AS DOUBLE)' for c in cs)}))" for o, cs in _BLOCKED.items())
@@ -189,13 +197,13 @@ _HIDE = " OR ".join(
 {X.rule_values_sql([X.GRIDS['HO'], X.GRIDS['CHO']], fixed=False).replace('grid_rules', 'grid2').replace('valued AS', 'valued2 AS')},
 m2 AS ({X.confusion_sql(X.PERIODS_SQL.replace('FROM valued', 'FROM valued2'), 'type, var, outcome_label, quarter')})
 SELECT outcome_label, var, round(mult, 6) AS mult, round(sens, 6) AS "Sensitivity", round(spec, 6) AS "Specificity",
-  var AS source FROM roc WHERE quarter = 'Test' AND kind <> 'static' AND NOT ({_HIDE})
+  var AS source FROM roc WHERE quarter = 'Test' AND var IN ('Adaptive', 'Community level', 'Z') AND NOT ({_HIDE})
 UNION ALL SELECT outcome_label, var, 1e0, round(sens, 6), round(spec, 6), type FROM m2 WHERE quarter = 'Test' AND ({_PICK})""")
 def roc_points(spark, sf_dir):
     rows = metric_rows(spark, sf_dir)
     static = {k: (rows.where(F.col("type") == k), chosen) for k, chosen in _CHOSEN.items()}
-    roc = M.roc_rows(spark, sf_dir, ["Adaptive: H"])
-    return X.rounded(V.roc_points(roc, static, "Adaptive: H", _BLOCKED))
+    roc = M.roc_rows(spark, sf_dir, ["Adaptive"])
+    return X.rounded(V.roc_points(roc, static, "Adaptive", _BLOCKED))
 
 
 _FLAGS = ["cdc_flag", *R.DEFAULT_OUTCOMES]
@@ -214,26 +222,28 @@ def switch_counts(spark, sf_dir):
 
 
 _PREDICTED = """predicted AS MATERIALIZED (SELECT state, ymd, outcome_label, pred >= 0.5 AS value, y FROM scored WHERE
-  (outcome_label IN ('zeke_time_3', 'two_zeke_time_3') AND spec = 'Adaptive: H') OR
-  (outcome_label IN ('icu_2_time_3', 'perc_covid_10_time_3') AND spec = 'Adaptive: C'))"""
+  (outcome_label IN ('zeke_time_3', 'two_zeke_time_3') AND spec = 'Adaptive') OR
+  (outcome_label IN ('icu_2_time_3', 'perc_covid_10_time_3') AND spec = 'Adaptive: CHOD'))"""
+_PAIR = ("Adaptive", "Adaptive: CHOD")  # what predicts deaths, and what predicts beds
+_PAIR_SQL = M.scored_sql([L.spec(x) for x in _PAIR])
 
 
-@query("switch_summary", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {M.newton_sql(('h', 'c'))}, {_PREDICTED},
+@query("switch_summary", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {_PAIR_SQL}, {_PREDICTED},
 a AS ({' UNION ALL '.join(_switch_sql(f"(SELECT * FROM predicted WHERE outcome_label = '{o}')", 'value', o) for o in R.DEFAULT_OUTCOMES)}),
 b AS ({' UNION ALL '.join(_switch_sql('panel', f, f) for f in _FLAGS)})
 SELECT coalesce(a.flag, b.flag) AS outcome_label, coalesce(a.var, b.var) AS var, a.tot AS tot_predicted, b.tot AS tot_true,
   (SELECT tot FROM b c WHERE c.flag = 'cdc_flag' AND c.var = coalesce(a.var, b.var)) AS "CL"
 FROM a FULL JOIN b ON a.flag = b.flag AND a.var = b.var WHERE coalesce(a.flag, b.flag) <> 'cdc_flag'""")
 def switch_summary(spark, sf_dir):
-    calendar = P.predicted_calendar(M.scored(spark, sf_dir), "Adaptive: H", "Adaptive: C")
+    calendar = P.predicted_calendar(M.scored(spark, sf_dir), *_PAIR)
     return W.switch_summary(calendar, X.panel(spark, sf_dir), R.DEFAULT_OUTCOMES)
 
 
-@query("prediction_calendar", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {M.newton_sql(('h', 'c'))}, {_PREDICTED}
+@query("prediction_calendar", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {_PAIR_SQL}, {_PREDICTED}
 SELECT state, ymd, outcome_label, {X.LAB2_SQL} AS lab2, value, CAST(y AS BOOLEAN) AS happened FROM predicted""")
 def prediction_calendar(spark, sf_dir):
     """Predicted class and actual outcome per area and week, deaths from one specification and beds from another."""
-    return P.predicted_calendar(M.scored(spark, sf_dir), "Adaptive: H", "Adaptive: C")
+    return P.predicted_calendar(M.scored(spark, sf_dir), *_PAIR)
 
 
 _BANDS_SQL = f"""bands AS MATERIALIZED (SELECT state, ymd, POPESTIMATE2019, deaths_weekly,
