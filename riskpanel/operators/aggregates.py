@@ -18,10 +18,6 @@ def sum_complete(c: str) -> Column:
     return F.when(F.count(F.col(c)) == F.count(F.lit(1)), F.sum(c))
 
 
-def max_complete(c: str) -> Column:
-    return F.when(F.count(F.col(c)) == F.count(F.lit(1)), F.max(c))
-
-
 def count_missing(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.count_if(col.isNull())

@@ -31,11 +31,6 @@ def lag_consistency(df: DataFrame, led: str, base: str, rows: int, area: str = "
         F.count("agree").alias("n_compared"), F.avg(F.col("agree").cast("double")).alias("share_equal"))
 
 
-def value_at(value: str, date: str, day: str) -> Column:
-    """The group's value on one day."""
-    return F.max(F.when(F.col(date) == F.lit(day).cast("date"), F.col(value)))
-
-
 def rolling_mean_check(df: DataFrame, value: str, k: int, area: str = "state", date: str = "ymd") -> DataFrame:
     """Rolling mean against a plain mean of the same k rows, for every block of k rows of an area."""
     w = by_area(area, date)

@@ -25,8 +25,8 @@ def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
 
 
 def to_wide(df: DataFrame, ids: Sequence[str], name: str, value: str, levels: Sequence[str]) -> DataFrame:
-    """Long -> wide over stated levels, one value per cell."""
-    return df.groupBy(*ids).pivot(name, list(levels)).agg(F.first(value))
+    """Long -> wide over stated levels. Of several values in a cell the largest is taken, so the result does not depend on chance."""
+    return df.groupBy(*ids).pivot(name, list(levels)).agg(F.max(value))
 
 
 def map_numeric(df: DataFrame, fn, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.functions.series import by_area
-from riskpanel.operators.reshape import to_wide
 
 CUTOFFS = [f"cutoff{i}" for i in range(1, 7)]
 
@@ -30,20 +27,14 @@ def cutoff_schedules(positions: DataFrame, r: str = "r", n: str = "n") -> DataFr
     })
 
 
-def outcome_probabilities(panel: DataFrame, schedules: DataFrame, slope: float = 3.0) -> DataFrame:
-    """Long frame: probability of the synthetic outcome per area, date and cut-off series."""
-    dates = schedules.select(F.col("ymd").alias("k_ymd"), *CUTOFFS)
-    joined = panel.join(dates, F.col("ymd") == F.col("k_ymd"), "left").drop("k_ymd")
-    ids = [c for c in joined.columns if c not in CUTOFFS]
-    long = joined.unpivot(ids, CUTOFFS, "cutoff", "cutoff_val")
-    return long.withColumn("prob", logistic(slope * (F.col("admits_weekly") - F.col("cutoff_val"))))
-
-
-def lagged_outcomes(long: DataFrame, ids: Sequence[str], value: str, weeks: int = 3) -> DataFrame:
-    """Back to one column per series, with each series' value ``weeks`` rows earlier."""
-    wide = to_wide(long, ids, "cutoff", value, CUTOFFS)
+def synthetic_outcomes(panel: DataFrame, schedules: DataFrame, slope: float = 3.0, weeks: int = 3) -> DataFrame:
+    """The panel with one column per cut-off series, 1 where the synthetic outcome has at least probability one half, and each
+    series' value ``weeks`` rows earlier: columns of the wide panel, so the only shuffle is the window's."""
+    dates = schedules.select(F.col("ymd").alias("k_ymd"), *[F.col(c).alias(f"k_{c}") for c in CUTOFFS])
+    joined = panel.join(dates, F.col("ymd") == F.col("k_ymd"), "left")
+    outcome = {c: (logistic(slope * (F.col("admits_weekly") - F.col(f"k_{c}"))) >= 0.5).cast("double") for c in CUTOFFS}
     w = by_area()
-    return wide.withColumns({f"lag_{c}": F.lag(c, weeks).over(w) for c in CUTOFFS})
+    return joined.withColumns(outcome).withColumns({f"lag_{c}": F.lag(c, weeks).over(w) for c in CUTOFFS}).drop("k_ymd", *[f"k_{c}" for c in CUTOFFS])
 
 
 def replicate_mean(results: DataFrame, replicate: str, value: str = "metric_value") -> DataFrame:

@@ -79,10 +79,11 @@ def run_matrix(
                 ((F.col("type") == (r.uses or "Prev")) | (F.col("rule_kind") == "baseline"))
                 & F.col("outcome_label").isin(*r.outcomes)
             )
-            rows = S.with_preferences(own, prefs)
+            rows = S.with_preferences(own.withColumn("type", F.lit(r.uses or "Prev")), prefs)  # also the baselines'
             if r.weeks:
-                rows = stack([rows, adaptive_metrics(
-                    predictions.where(F.col("outcome_label").isin(*r.outcomes)), study, prefs, weeks=r.weeks, weight=weight)])
+                refitted = adaptive_metrics(
+                    predictions.where(F.col("outcome_label").isin(*r.outcomes)), study, prefs, weeks=r.weeks, weight=weight)
+                rows = stack([rows, refitted.withColumn("type", F.lit(r.uses))])
             frames.append(S.to_metric_rows(rows).withColumns({"run": F.lit(r.name), "run_number": F.lit(r.number)}))
     for r in (r for r in runs if r.sweep):
         rows = roc_estimates(panel, grid_for(r.uses, *levels), study, scored.where(F.col("weeks").isin(0, r.weeks)),

@@ -67,6 +67,4 @@ def loglog_points(panel: DataFrame, study: Study, min_population: float) -> Data
 def synthetic_outcomes(panel: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Panel with synthetic outcomes (probability at least one half) of each cut-off series and their lags."""
     schedules = Y.cutoff_schedules(ordered_positions(panel.select("ymd").distinct(), "ymd"))
-    long = Y.outcome_probabilities(panel.select(*ids), schedules).withColumn(
-        "outcome", (F.col("prob") >= 0.5).cast("double")).drop("prob", "cutoff_val")
-    return Y.lagged_outcomes(long, ids, "outcome")
+    return Y.synthetic_outcomes(panel.select(*ids), schedules)

@@ -15,7 +15,7 @@ from riskpanel.queries import query
 from riskpanel.queries import shared as X
 from riskpanel.session import scratch_path
 from riskpanel.sources import tables as IO
-from riskpanel.sources.commerce import order_facts, table
+from riskpanel.sources.commerce import LEVELS, order_facts, table
 
 _DAILY = T.StructType([
     T.StructField("date", T.StringType()), T.StructField("state", T.StringType()),
@@ -43,13 +43,11 @@ def src_csv_roundtrip(spark, sf_dir):
 @query("union_years", f"""WITH {_DAILY_SQL} SELECT CAST(year(ymd) AS INTEGER) AS year, state, count(*) AS days,
   CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(deaths) AS BIGINT) AS deaths FROM daily GROUP BY ALL""")
 def union_years(spark, sf_dir):
-    """One CSV folder per year, stacked into one table by a single scan over all paths."""
+    """One CSV folder per year, stacked into one table by a single scan; partition discovery finds the years there are."""
     root = scratch_path(spark, "daily_by_year")
     daily = _daily(spark, sf_dir).withColumn("y", F.substring("date", 1, 4))
     daily.write.partitionBy("y").option("header", True).csv(root)
-    bounds = table(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
-    paths = [f"{root}/y={y}" for y in range(bounds[0], bounds[1] + 1)]
-    stacked = IO.read_csv(spark, paths, _DAILY).withColumn("year", F.year(F.to_date("date", "yyyy-MM-dd")))
+    stacked = IO.read_csv(spark, root, _DAILY).withColumn("year", F.year(F.to_date("date", "yyyy-MM-dd")))
     return stacked.groupBy("year", "state").agg(
         F.count(F.lit(1)).alias("days"), F.sum("cases").alias("cases"), F.sum("deaths").alias("deaths")
     )
@@ -79,9 +77,9 @@ def lookup_snapshot(spark, sf_dir):
   round(sum(cases_weekly), 4) AS cases, round(sum(admits_weekly), 4) AS admits,
   count(*) FILTER (WHERE zeke_time_3) AS severe FROM panel GROUP BY state""")
 def panel_roundtrip(spark, sf_dir):
-    """Two geographies appended to one partitioned panel dataset; one is read back by partition."""
+    """All geographies appended to one partitioned panel dataset; one is read back by partition."""
     path = scratch_path(spark, "panels")
-    for level in ("state", "group"):
+    for level in LEVELS:
         IO.write_panel(X.panel(spark, sf_dir, level), path, level)
     back = IO.read_panel(spark, path, "group")
     return back.groupBy("state").agg(
@@ -90,8 +88,6 @@ def panel_roundtrip(spark, sf_dir):
     )
 
 
-_FLAGS = {"c": "cases_weekly", "h": "admits_weekly", "o": "perc_covid_100", "z": "0", "dh": "change_admits",
-          "do": "change_perc", "dc": "change_cases"}
 _SPEC_ROWS = ", ".join(
     f"({i}, '{s.name}', {str(s.quarterly).lower()}, {len(s.features)}, "
     + ", ".join(str(f in s.features).lower() for f in L.FEATURES) + ")"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,10 @@ def write_panel(panel: DataFrame, path: str, geography: str) -> None:
 
 
 def read_panel(spark: SparkSession, path: str, geography: str | None = None) -> DataFrame:
-    """The panel dataset, or one geography of it (a partition filter: other folders are not listed)."""
-    df = spark.read.parquet(path)
+    """The panel dataset, or one geography of it (a partition filter: of other folders only the names are read). Partition
+    values stay strings, so a level named like a number does not become one."""
+    types = {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
+    df = _with_conf(spark, types, lambda: spark.read.parquet(path))
     return df if geography is None else df.where(F.col("geo") == geography)
 
 
@@ -36,4 +38,16 @@ def append_results(df: DataFrame, path: str, **parts: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The appended results; partition values stay strings."""
+    return _with_conf(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}, lambda: spark.read.parquet(path))
+
+
+def _with_conf(spark: SparkSession, settings: dict[str, str], read: Callable[[], DataFrame]) -> DataFrame:
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return read()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
