@@ -12,7 +12,7 @@ from riskpanel.functions.labels import PREFERENCES
 from riskpanel.operators import logistic as L
 from riskpanel.operators import scoring as S
 from riskpanel.operators.rules import DEFAULT_OUTCOMES, Grid
-from riskpanel.operators.training import eval_dates
+from riskpanel.operators.training import eval_dates, quarterly_windows, weekly_windows, window_audit
 
 # Cost ratios of the sweep.
 ROC_CUTS = (1 / 100, 1 / 20, 1 / 15, 1 / 10, 1 / 7, 1 / 5, 1 / 3, 1 / 2, 1, 2, 3, 5, 7, 10, 15, 20, 100)
@@ -81,6 +81,18 @@ def fit_and_score(
     return L.score(rows, fits)
 
 
+def with_audit(scored: DataFrame, panel: DataFrame, study: Study, weeks: Sequence[int] = (4,)) -> DataFrame:
+    """Predictions with the first and last training date of their fit's window, from the dates of the panel (a row per window)."""
+    dates = eval_dates(panel, study.start, study.end)
+    windows = quarterly_windows(dates)
+    for w in weeks:
+        windows = windows.unionByName(weekly_windows(dates, w))
+    audit = window_audit(panel, windows, max(weeks)).select(
+        F.col("end_date").alias("a_date"), F.col("weeks").alias("a_weeks"), "min_train_date", "max_train_date")
+    own = (F.col("test_date") == F.col("a_date")) & (F.col("weeks") == F.col("a_weeks"))
+    return scored.join(audit, own, "left").drop("a_date", "a_weeks")
+
+
 def base_estimates(
     panel: DataFrame, grid: Grid, study: Study, scored: DataFrame | None = None,
     outcomes: Sequence[str] = DEFAULT_OUTCOMES, preferences: dict[str, float] = PREFERENCES, weeks: int = 4,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.labels import PREFERENCES
 from riskpanel.operators import scoring as S
+from riskpanel.operators.logistic import DEFAULT_SPECS
 from riskpanel.operators.reshape import stack
 from riskpanel.operators.rules import DEFAULT_OUTCOMES, Grid
 from riskpanel.plans.estimates import NO_PREFERENCES, ROC_CUTS, Study, adaptive_metrics, roc_estimates
@@ -27,11 +28,12 @@ class Run:
     equal_weight: bool = False
     prevalence: bool = False
     sweep: bool = False
+    all_specs: bool = False  # every specification instead of the default ones
 
 
 # The numbered runs.
 RUNS = (
-    Run(1, "base", "H", weeks=4),
+    Run(1, "base", "H", weeks=4, all_specs=True),
     Run(2, "w8", "H", weeks=8),
     Run(3, "w12", "H", weeks=12),
     Run(4, "C", "C"),
@@ -55,6 +57,11 @@ def grid_for(uses: str, case: Sequence[float], admit: Sequence[float], perc: Seq
     )
 
 
+def _used(predictions: DataFrame, run: Run) -> DataFrame:
+    mine = predictions.where(F.col("outcome_label").isin(*run.outcomes))
+    return mine if run.all_specs else mine.where(F.col("spec").isin(*[s.name for s in DEFAULT_SPECS]))
+
+
 def run_matrix(
     panel: DataFrame, study: Study, levels: tuple[Sequence[float], Sequence[float], Sequence[float]],
     scored: DataFrame, scored_equal: DataFrame, runs: Sequence[Run] = RUNS,
@@ -81,12 +88,11 @@ def run_matrix(
             )
             rows = S.with_preferences(own.withColumn("type", F.lit(r.uses or "Prev")), prefs)  # also the baselines'
             if r.weeks:
-                refitted = adaptive_metrics(
-                    predictions.where(F.col("outcome_label").isin(*r.outcomes)), study, prefs, weeks=r.weeks, weight=weight)
+                refitted = adaptive_metrics(_used(predictions, r), study, prefs, weeks=r.weeks, weight=weight)
                 rows = stack([rows, refitted.withColumn("type", F.lit(r.uses))])
             frames.append(S.to_metric_rows(rows).withColumns({"run": F.lit(r.name), "run_number": F.lit(r.number)}))
     for r in (r for r in runs if r.sweep):
-        rows = roc_estimates(panel, grid_for(r.uses, *levels), study, scored.where(F.col("weeks").isin(0, r.weeks)),
+        rows = roc_estimates(panel, grid_for(r.uses, *levels), study, _used(scored, r).where(F.col("weeks").isin(0, r.weeks)),
                              ROC_CUTS, r.outcomes)
         frames.append(rows.withColumns({"run": F.lit(r.name), "run_number": F.lit(r.number)}))
     return stack(frames)

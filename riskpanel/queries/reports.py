@@ -10,7 +10,7 @@ from riskpanel.operators import rules as R
 from riskpanel.operators import scoring as S
 from riskpanel.operators import selection as V
 from riskpanel.operators import switches as W
-from riskpanel.operators.reshape import to_wide
+from riskpanel.operators.reshape import stack, to_wide
 from riskpanel.operators.synthetic import CUTOFFS, replicate_mean as mean_over_replicates
 from riskpanel.plans import estimates as E
 from riskpanel.plans import reports as P
@@ -39,12 +39,13 @@ def metric_rows(spark, sf_dir, specs=tuple(M.DEFAULT_NAMES)):
 
 
 _BY = "type, var, kind, outcome_label, quarter, lab, mult"
-def metrics_sql(specs=L.DEFAULT_SPECS) -> str:
+def metrics_sql(specs=L.DEFAULT_SPECS, level: str = "state") -> str:
+    """CTEs that end in ``t`` (the metric table with scores) and ``best``; without specifications only the rules."""
     scored = f"{M.scored_sql(specs)}," if specs else ""
     adaptive = """
   UNION ALL SELECT 'H', spec, 'adaptive', ymd, quarter_label, outcome_label, weight, y,
     CAST(pred >= 1 / (1 + mult) AS DOUBLE), lab, mult FROM scored CROSS JOIN prefs""" if specs else ""
-    return f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {scored} {X.PREFS_SQL},
+    return f"""WITH {X.panel_sql(level)}, {X.outcomes_sql()}, {scored} {X.PREFS_SQL},
 {X.rule_values_sql().replace('valued AS', 'static AS')},
 valued AS (
   SELECT type, CASE var WHEN 'cdc_flag' THEN 'Community level' WHEN 'current_zeke' THEN 'Z' ELSE var END AS var,
@@ -64,14 +65,27 @@ METRICS = metrics_sql()
 STATIC = metrics_sql(())  # for reports of static rules only
 
 
-@query("best_static_table", METRICS + """
-SELECT 'States' AS level, lab, lab2, type, var FROM best WHERE best AND lab2 IN ('>1 death/100K/wk', '>2 deaths/100K/wk')""")
+LEVEL_NAMES = {"state": "States", "group": "HSAs", "member": "Counties"}
+
+
+def static_rows(spark, sf_dir, level):
+    """The stored metric table of the static rules and baselines of one geography."""
+    return X.stored(spark, f"static_rows_{level}", sf_dir, build=lambda: S.static_metrics(
+        X.panel(spark, sf_dir, level), _GRIDS, X.START, X.END, X.SPLIT))
+
+
+def _by_level(select: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({metrics_sql((), k)} {select.replace('{level}', name)})" for k, name in LEVEL_NAMES.items())
+
+
+@query("best_static_table", _by_level("""
+SELECT '{level}' AS level, lab, lab2, type, var FROM best WHERE best AND lab2 IN ('>1 death/100K/wk', '>2 deaths/100K/wk')"""))
 def best_static_table(spark, sf_dir):
-    """Best static rule per preference, outcome and type, appended to a result dataset by level."""
-    rows = metric_rows(spark, sf_dir).where(F.col("outcome_label").isin(*P.MORTALITY))
-    best = V.best_static(rows, QUARTERS)
+    """Best static rule per level, preference, outcome and type, appended level by level to one result dataset."""
     path = scratch_path(spark, "best_static")
-    IO.append_results(best, path, level="States")
+    for level, name in LEVEL_NAMES.items():
+        rows = static_rows(spark, sf_dir, level).where(F.col("outcome_label").isin(*P.MORTALITY))
+        IO.append_results(V.best_static(rows, QUARTERS), path, level=name)
     return IO.read_results(spark, path).select("level", "lab", "lab2", "type", "var")
 
 
@@ -125,6 +139,18 @@ def quarter_table(spark, sf_dir):
     return X.rounded(V.comparison_table(metric_rows(spark, sf_dir), QUARTERS, _OTHERS))
 
 
+_BASELINES = ("Community level", "Z")
+
+
+@query("level_comparison", _by_level(f""", {_comparison_sql(R.DEFAULT_OUTCOMES, "b.best OR (t.kind = 'baseline')")}
+SELECT '{{level}}' AS level, lab, lab2, var, period, value,
+  round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS fill FROM kept WINDOW w AS (PARTITION BY lab, lab2)"""))
+def level_comparison(spark, sf_dir):
+    """The quarter table of static rules and baselines for all geographies at once, grouped by level."""
+    rows = stack([static_rows(spark, sf_dir, k).withColumn("level", F.lit(name)) for k, name in LEVEL_NAMES.items()])
+    return X.rounded(V.comparison_table(rows, QUARTERS, _BASELINES, group=["level"]))
+
+
 @query("time_trend_table", METRICS + """,
 k AS (SELECT * FROM t WHERE lab = 'Neutral' AND quarter NOT IN ('Test', 'Overall') AND var <> '0 6 0'),
 m AS (SELECT *, max(CASE WHEN quarter = 'Training' THEN score END) OVER (PARTITION BY outcome_label, var) AS training FROM k),
@@ -158,16 +184,17 @@ def arg_best_rule(spark, sf_dir):
     return X.rounded(V.best_and_worst(rows, ["quarter", "lab2"]))
 
 
-@query("agg_of_agg", STATIC + """,
-p AS (SELECT lab2, quarter, max(score) AS best, min(score) AS worst FROM t WHERE lab = 'Neutral' AND kind = 'static'
-  AND quarter NOT IN ('Training', 'Test', 'Overall') GROUP BY ALL)
-SELECT lab2, round(min(best), 6) AS min_best, round(max(best), 6) AS max_best, round(min(worst), 6) AS min_worst,
-  count(*) AS n_periods FROM p GROUP BY 1""")
+@query("agg_of_agg", METRICS + """,
+p AS (SELECT kind AS rule_kind, lab2, quarter, max(score) AS best, min(score) AS worst FROM t WHERE lab = 'Neutral'
+  AND kind IN ('static', 'adaptive', 'prevalence') AND quarter NOT IN ('Training', 'Test', 'Overall') GROUP BY ALL)
+SELECT rule_kind, lab2, round(min(best), 6) AS min_best, round(max(best), 6) AS max_best, round(min(worst), 6) AS min_worst,
+  count(*) AS n_periods FROM p GROUP BY 1, 2""")
 def agg_of_agg(spark, sf_dir):
+    """Ranges over the quarters of the best and worst score of static rules, refitted models and prevalence."""
     rows = metric_rows(spark, sf_dir).where(
-        "lab = 'Neutral' AND rule_kind = 'static' AND metric = 'Weighted accuracy' "
+        "lab = 'Neutral' AND rule_kind IN ('static', 'adaptive', 'prevalence') AND metric = 'Weighted accuracy' "
         "AND quarter NOT IN ('Training', 'Test', 'Overall')")
-    return X.rounded(V.range_of_best(rows, ["lab2"], "quarter", "metric_value"))
+    return X.rounded(V.range_of_best(rows, ["rule_kind", "lab2"], "quarter", "metric_value"))
 
 
 _POINTS = "SELECT type, var, outcome_label, sens, spec FROM t WHERE quarter = 'Test' AND lab = 'Neutral' AND type IN ('HO', 'CHO')"

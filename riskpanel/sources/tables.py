@@ -32,6 +32,11 @@ def read_panel(spark: SparkSession, path: str, geography: str | None = None) ->
     return df if geography is None else df.where(F.col("geo") == geography)
 
 
+def write_predictions(scored: DataFrame, path: str) -> None:
+    """Appends scored rows to the prediction dataset, by specification and outcome."""
+    scored.write.mode("append").partitionBy("spec", "outcome_label").parquet(path)
+
+
 def append_results(df: DataFrame, path: str, **parts: str) -> None:
     """Appends result rows under constant partition columns such as ``level`` or ``period``."""
     df.withColumns({k: F.lit(v) for k, v in parts.items()}).write.mode("append").partitionBy(*parts).parquet(path)

@@ -39,7 +39,7 @@ def test_entry(spark):
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(entry.queries())
     assert set(entry.queries()) - set(ORACLES) - OPTIONAL == {
-        "adaptive_metrics", "analysis_matrix", "rf_variant"}
+        "analysis_matrix", "rf_variant"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW - OPTIONAL))
