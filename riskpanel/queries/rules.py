@@ -53,12 +53,12 @@ def metrics_by_period(spark, sf_dir):
 valued AS (SELECT CAST(date_trunc('month', ymd) AS DATE) AS month, split_part(state, '-', 2) AS segment, outcome_label, weight, y,
   CAST(cdc_flag AS DOUBLE) AS v FROM long WHERE {X.IN_RANGE}),
 m AS ({X.confusion_sql('valued', 'month, segment, outcome_label')})
-SELECT month, segment, outcome_label, n, {_METRICS} FROM m""")
+SELECT month, segment, outcome_label, n, {X.rounded_sql(X.METRIC_COLUMNS, 4)} FROM m""")
 def metrics_by_month(spark, sf_dir):
     """Metrics in groups of the caller's choice: here calendar months and market segments of the group panel."""
     long = R.with_outcomes(X.panel(spark, sf_dir, "group").where(F.col("ymd").between(X.START, X.END))).withColumns({
         "value": F.col("cdc_flag"), "month": F.trunc("ymd", "month"), "segment": F.split_part("state", F.lit("-"), F.lit(2))})
-    return X.rounded(S.confusion_metrics(long, ["month", "segment", "outcome_label"]))
+    return X.rounded(S.confusion_metrics(long, ["month", "segment", "outcome_label"]), 4)
 
 
 @query("threshold_grid_rules", f"""WITH {X.panel_sql('member')}, {X.grid_sql([_GRID])}
