@@ -145,6 +145,11 @@ class Compared:
         return np.array(out, np.int64)
 
 
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows`` of one or two numbers, to be broadcast if there are few; beyond that Spark joins by shuffling, with the same result."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def links(docs: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
     """``u``, ``v``: enough links between nodes to connect all that are linked through pairs sharing a band."""
     width = 4 * params.rows
@@ -152,13 +157,13 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
                        lambda b: F.xxhash64(b, F.substring("signature", b * width + 1, F.lit(width))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    pivots = small(materialize(pivots, "near_pivots"))
     met = materialize(bands.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct(), "near_met")
 
     # Only texts that met another are read again; their sets are computed anew instead of stored.
-    involved = met.select("node").unionAll(met.select(F.col("pivot").alias("node"))).distinct()
+    involved = met.select(F.col("node").alias("doc_id")).unionAll(met.select(F.col("pivot").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    ids = involved.withColumnRenamed("node", "doc_id")
-    ids = F.broadcast(ids) if involved.count() <= 1_000_000 else ids  # 8 bytes each; beyond that Spark joins by shuffling
+    ids = small(materialize(involved, "near_involved"))
     sets = full_sets(texts.join(ids, "doc_id", "left_semi"), params)
     sets = sets.join(nodes.select("node", "h1", "h2", "signature"), ["node", "h1", "h2"]).dropDuplicates(["node", "h1", "h2"]).select("node", "signature", "members")
     sets = materialize(sets, "near_sets")
