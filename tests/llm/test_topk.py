@@ -30,6 +30,13 @@ def test_ties_nulls_and_repeats(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows, 5)
 
 
+def test_scores_beyond_floating_point(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.integers(-2**20, 2**20, 3))]) for i in range(60)] + [(70, [3.0e30] * 3), (71, [2.0**21, 1.0, 2.0**21])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect())) == brute([r for r in rows if r[0] != 70], 5)
+
+
 def test_fewer_candidates_than_k_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0], 0), (1, [-1.0], 0), (2, [0.5], 0)], SCHEMA)
     assert [tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, 2, 32768), (0, 2, 1, -65536)]
