@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.llm.common import slices
 
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed by the published byte-level tokenizers, with white space spelled out (Unicode White_Space).
 PIECES = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"

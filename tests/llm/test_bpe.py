@@ -29,6 +29,12 @@ def test_ids_match_the_library(codec, library):
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_every_white_space(codec, library):
+    for code in (*range(33), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF):
+        for text in (f"a{chr(code)}b", f"{chr(code) * 3}x", f"x{chr(code)}", f" {chr(code)} y"):
+            assert bpe.unpack(codec.encode(text)).tolist() == library.encode(text, add_special_tokens=False).ids, code
+
+
 def test_long_pieces_and_lone_bytes(codec, library):
     for text in ("a" * 3000, "ab" * 1500 + " " * 500, "é" * 999):
         assert bpe.unpack(codec.encode(text)).tolist() == library.encode(text, add_special_tokens=False).ids
