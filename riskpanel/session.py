@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_paths: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/riskpanel/{re.sub('[^A-Za-z0-9_]+', '_', name)}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/riskpanel/{re.sub('[^A-Za-z0-9_]+', '_', name)}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the intermediate tables that were written inside it, so results must be used or written before."""
+    first = len(_paths)
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _paths[first:]:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        del _paths[first:]
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
