@@ -105,19 +105,21 @@ def sketch(docs: DataFrame, params: NearParams) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, params: NearParams) -> DataFrame:
-    """``node``, ``h1``, ``h2``, ``members`` (the shingle hashes, packed) of the rows of ``docs``."""
+    """``node``, ``h1``, ``h2``, ``signature``, ``members`` (the shingle hashes, packed) of the rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, minima = WordHashes(), Minima(params)
         for batch in slices(batches, "text"):
-            packed = [shingles(t, params.words, hashes).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+            found = [shingles(t, params.words, hashes) for t in batch.column("text").to_pylist()]
+            packed = [x.astype("<u8").tobytes() for x in found]
             keys = [xxhash.xxh128_digest(x) for x in packed]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([int.from_bytes(k[:8], "big", signed=True) for k in keys], pa.int64()),
-                pa.array([int.from_bytes(k[8:], "big", signed=True) for k in keys], pa.int64()), pa.array(packed, pa.binary())],
-                ["node", "h1", "h2", "members"])
+                pa.array([int.from_bytes(k[8:], "big", signed=True) for k in keys], pa.int64()),
+                pa.array([minima.signature(x).tobytes() for x in found], pa.binary()), pa.array(packed, pa.binary())],
+                ["node", "h1", "h2", "signature", "members"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, h1 long, h2 long, members binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, h1 long, h2 long, signature binary, members binary")
 
 
 class Compared:
@@ -157,15 +159,15 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
                        lambda b: F.xxhash64(b, F.substring("signature", b * width + 1, F.lit(width))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    pivots = small(materialize(pivots, "near_pivots"))
     met = materialize(bands.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct(), "near_met")
 
     # Only texts that met another are read again; their sets are computed anew instead of stored.
     involved = met.select(F.col("node").alias("doc_id")).unionAll(met.select(F.col("pivot").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     ids = small(materialize(involved, "near_involved"))
-    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), params)
-    sets = sets.join(nodes.select("node", "h1", "h2", "signature"), ["node", "h1", "h2"]).dropDuplicates(["node", "h1", "h2"]).select("node", "signature", "members")
+    # Their signatures are computed anew too, which costs less than moving those of all nodes. Equal rows count once; several texts
+    # under one doc_id all belong to its node.
+    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), params).dropDuplicates(["node", "h1", "h2"]).select("node", "signature", "members")
     sets = materialize(sets, "near_sets")
 
     sizes = met.groupBy("pivot").agg(F.count("*").alias("n"))
