@@ -167,7 +167,7 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
     ids = small(materialize(involved, "near_involved"))
     # Their signatures are computed anew too, which costs less than moving those of all nodes. Equal rows count once; several texts
     # under one doc_id all belong to its node.
-    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), params).dropDuplicates(["node", "h1", "h2"]).select("node", "signature", "members")
+    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), params).where(F.length("members") > 0).dropDuplicates(["node", "h1", "h2"]).select("node", "signature", "members")
     sets = materialize(sets, "near_sets")
 
     sizes = met.groupBy("pivot").agg(F.count("*").alias("n"))

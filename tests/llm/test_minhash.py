@@ -63,9 +63,9 @@ def test_awkward_rows(spark, awkward, clashing, empty):
 
 def test_an_id_with_two_texts_links_both(spark):
     a, b = near_copies(2, 40, 0, 5), near_copies(2, 40, 0, 6)
-    rows = [(5, a[0][1]), (5, b[0][1]), (7, a[1][1]), (9, b[1][1])]
+    rows = [(5, a[0][1]), (5, b[0][1]), (7, a[1][1]), (9, b[1][1]), (5, ""), (7, None)]
     got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), M.NearParams(words=2, percent=40)).collect()
-    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (9, 5)}
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (9, 5), (7, 7)}  # a text without words is linked with nothing
 
 
 def test_sample_of_documents(spark):
