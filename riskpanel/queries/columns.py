@@ -43,8 +43,8 @@ def per_capita_rates(spark, sf_dir):
 
     keys = ["area", "ymd"]
     joined = (K.week_grid(spark, sf_dir, "member")
-              .join(K.order_facts(spark, sf_dir, "member", D.week_start), keys, "left")
-              .join(K.line_facts(spark, sf_dir, "member", D.week_start), keys, "left"))
+              .join(K.rolled_orders(spark, sf_dir, "member", D.week_start), keys, "left")
+              .join(K.rolled_lines(spark, sf_dir, "member", D.week_start), keys, "left"))
     cases = C.per_100k(F.coalesce("cases", F.lit(0)), "population")
     return X.rounded(joined.select(
         F.col("area").alias("state"), "ymd", cases.alias("cases_per_100k"), (cases / 7).alias("cases_avg_per_100k"),

@@ -70,9 +70,9 @@ def duplicate_keys(spark, sf_dir):
 a AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM d GROUP BY ALL)
 SELECT count(*) AS n_areas, min(n) AS min_rows, max(n) AS max_rows FROM a""")
 def panel_completeness(spark, sf_dir):
-    from riskpanel.sources.commerce import order_facts
+    from riskpanel.sources.commerce import rolled_orders
 
-    return A.panel_completeness(order_facts(spark, sf_dir, "group", lambda d: d), "area")
+    return A.panel_completeness(rolled_orders(spark, sf_dir, "group", lambda d: d), "area")
 
 
 @query("weighted_mean", f"""WITH {X.panel_sql('group')} SELECT ymd,

@@ -29,7 +29,7 @@ def join_lookup_left(spark, sf_dir):
   GROUP BY ALL""")
 def join_inner_via_left(spark, sf_dir):
     """Areas unknown to the lookup are dropped in the join itself. Orders are counted by nation before they meet it."""
-    facts = K.order_facts(spark, sf_dir, "state", lambda d: d)
+    facts = K.rolled_orders(spark, sf_dir, "state", lambda d: d)
     lookup = table(spark, sf_dir, "nation").where("n_regionkey <> 3").withColumn("code", F.col("n_nationkey").cast("string"))
     return J.lookup_inner(facts, lookup, {"area": "code"}, ["n_name"]).select("n_name", "ymd", "cases")
 
@@ -45,8 +45,8 @@ h AS (SELECT CAST(c_nationkey AS VARCHAR) AS area, CAST(l_shipdate AS DATE) AS d
   FROM o LEFT JOIN h ON state = area AND ymd = day""")
 def join_area_date(spark, sf_dir):
     """Daily cases with the same area's hospital day; the two keys have different names on each side."""
-    o = K.order_facts(spark, sf_dir, "state", lambda d: d).select(F.col("area").alias("state"), "ymd", "cases")
-    h = K.line_facts(spark, sf_dir, "state", lambda d: d).withColumnRenamed("ymd", "day")
+    o = K.rolled_orders(spark, sf_dir, "state", lambda d: d).select(F.col("area").alias("state"), "ymd", "cases")
+    h = K.rolled_lines(spark, sf_dir, "state", lambda d: d).withColumnRenamed("ymd", "day")
     joined = J.lookup_left(o, h, {"state": "area", "ymd": "day"}, ["admits", "icu"])
     return X.rounded(joined, 4)
 
@@ -76,8 +76,8 @@ def join_null_safe(spark, sf_dir):
     from riskpanel.functions.dates import week_start
 
     seg = F.nullif(F.split_part("area", F.lit("-"), F.lit(2)), F.lit("BUILDING"))
-    o = K.order_facts(spark, sf_dir, "group", week_start).groupBy(seg.alias("seg"), "ymd").agg(F.sum("cases").alias("cases"))
-    h = K.line_facts(spark, sf_dir, "group", week_start).groupBy(seg.alias("seg2"), F.col("ymd").alias("week")).agg(
+    o = K.rolled_orders(spark, sf_dir, "group", week_start).groupBy(seg.alias("seg"), "ymd").agg(F.sum("cases").alias("cases"))
+    h = K.rolled_lines(spark, sf_dir, "group", week_start).groupBy(seg.alias("seg2"), F.col("ymd").alias("week")).agg(
         F.sum("icu").alias("icu"))
     return X.rounded(J.lookup_null_safe(o, h, {"seg": "seg2", "ymd": "week"}, ["icu"]), 4)
 

@@ -15,7 +15,7 @@ from riskpanel.queries import query
 from riskpanel.queries import shared as X
 from riskpanel.session import scratch_path
 from riskpanel.sources import tables as IO
-from riskpanel.sources.commerce import LEVELS, order_facts, table
+from riskpanel.sources.commerce import LEVELS, rolled_orders, table
 
 _DAILY = T.StructType([
     T.StructField("date", T.StringType()), T.StructField("state", T.StringType()),
@@ -27,7 +27,7 @@ _DAILY_SQL = """daily AS (SELECT CAST(o_orderdate AS DATE) AS ymd, CAST(c_nation
 
 
 def _daily(spark, sf_dir):
-    facts = order_facts(spark, sf_dir, "state", lambda d: d)
+    facts = rolled_orders(spark, sf_dir, "state", lambda d: d)
     return facts.select(F.date_format("ymd", "yyyy-MM-dd").alias("date"), F.col("area").alias("state"), "cases", "deaths")
 
 

@@ -22,14 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def area_key(level: str, part: Column | None = None) -> Column:
-    """Name of the area; ``part`` is the quarter of a segment, by default that of ``c_custkey``."""
-    part = F.col("c_custkey") % 4 if part is None else part
+def area_key(level: str) -> Column:
     nation, segment = F.col("c_nationkey").cast("string"), F.col("c_mktsegment")
     return {
         "state": nation,
         "group": F.concat_ws("-", nation, segment),
-        "member": F.concat_ws("-", nation, segment, part),
+        "member": F.concat_ws("-", nation, segment, F.col("c_custkey") % 4),
     }[level]
 
 
@@ -41,64 +39,64 @@ def populations(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     return residents(spark, sf_dir, level).groupBy("area").agg(F.count(F.lit(1)).alias("population"))
 
 
+def order_facts(spark: SparkSession, sf_dir: str, level: str, period) -> DataFrame:
+    """Orders by area and period. Counting directly above the join keeps one shuffle of the raw orders; a customer
+    with a large share of them is split by adaptive skew handling and shrinks in the partial aggregate."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", period(F.col("o_orderdate").cast("date")).alias("ymd"),
+        (F.col("o_orderstatus") == "F").alias("closed"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+    )
+    joined = orders.join(residents(spark, sf_dir, level), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy("area", "ymd").agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if("closed").alias("deaths"),
+        F.count_if("urgent").alias("urgent"),
+    )
+
+
+def line_facts(spark: SparkSession, sf_dir: str, level: str, period) -> DataFrame:
+    """Order lines by area and shipping period. Orders meet their (smaller) customers first, so the lines are
+    shuffled once, by order, and are aggregated in the same stage as the join."""
+    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(
+        residents(spark, sf_dir, level), F.col("o_custkey") == F.col("c_custkey")
+    ).select("o_orderkey", "area")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", period(F.col("l_shipdate").cast("date")).alias("ymd"), "l_returnflag", "l_quantity"
+    )
+    joined = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("area", "ymd").agg(
+        F.count_if(F.col("l_returnflag") == "R").alias("admits"), F.sum("l_quantity").alias("icu")
+    )
+
+
 _stored: dict[tuple, DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], build) -> DataFrame:
-    """A table kept in the shared folder and used again as long as the input tables consist of the same files."""
+def _member_days(spark: SparkSession, sf_dir: str, name: str, facts, inputs: tuple[str, ...]) -> DataFrame:
+    """The facts of the finest areas by day, kept in the shared folder and used again as long as the input tables consist of the same files."""
     files = tuple(f for t in inputs for f in sorted(table(spark, sf_dir, t).inputFiles()))
     key = (spark.sparkContext.applicationId, name, files)
     if key not in _stored:
-        _stored[key] = materialize(build(), name)
+        _stored[key] = materialize(facts(spark, sf_dir, "member", lambda d: d), name)
     return _stored[key]
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", (F.col("c_custkey") % 4).alias("part"))
+def _containing(area: Column, level: str) -> Column:
+    """The area of a level that contains a member area."""
+    return {"state": F.substring_index(area, "-", 1), "group": F.regexp_replace(area, "-[^-]*$", ""), "member": area}[level]
 
 
-_MEMBER = ["c_nationkey", "c_mktsegment", "part", "day"]
-
-
-def _member_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by member area and day: the finest table that all others are rolled up from. Counting directly above the join keeps one
-    shuffle of the raw orders; a customer with a large share of them is split by adaptive skew handling and shrinks in the partial aggregate."""
-    def build() -> DataFrame:
-        orders = table(spark, sf_dir, "orders").select(
-            "o_custkey", F.col("o_orderdate").cast("date").alias("day"),
-            (F.col("o_orderstatus") == "F").alias("closed"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-        )
-        return orders.join(_members(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).groupBy(*_MEMBER).agg(
-            F.count(F.lit(1)).alias("cases"), F.count_if("closed").alias("deaths"), F.count_if("urgent").alias("urgent"))
-
-    return _once(spark, sf_dir, "member_orders", ("customer", "orders"), build)
-
-
-def _member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines by member area and shipping day. Orders meet their (smaller) customers first, so the lines are
-    shuffled once, by order, and are aggregated in the same stage as the join."""
-    def build() -> DataFrame:
-        owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(
-            _members(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
-        lines = table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", F.col("l_shipdate").cast("date").alias("day"), "l_returnflag", "l_quantity")
-        return lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(*_MEMBER).agg(
-            F.count_if(F.col("l_returnflag") == "R").alias("admits"), F.sum("l_quantity").alias("icu"))
-
-    return _once(spark, sf_dir, "member_lines", ("customer", "orders", "lineitem"), build)
-
-
-def order_facts(spark: SparkSession, sf_dir: str, level: str, period) -> DataFrame:
-    """Orders by area and period, rolled up from the stored daily counts of the member areas."""
-    days = _member_orders(spark, sf_dir)
-    return days.groupBy(area_key(level, F.col("part")).alias("area"), period(F.col("day")).alias("ymd")).agg(
+def rolled_orders(spark: SparkSession, sf_dir: str, level: str, period) -> DataFrame:
+    """``order_facts`` from the stored member areas: orders are joined once per session, whatever levels and periods are asked for."""
+    days = _member_days(spark, sf_dir, "member_orders", order_facts, ("customer", "orders"))
+    return days.groupBy(_containing(F.col("area"), level).alias("area"), period(F.col("ymd")).alias("ymd")).agg(
         F.sum("cases").alias("cases"), F.sum("deaths").alias("deaths"), F.sum("urgent").alias("urgent"))
 
 
-def line_facts(spark: SparkSession, sf_dir: str, level: str, period) -> DataFrame:
-    """Order lines by area and shipping period, rolled up likewise."""
-    days = _member_lines(spark, sf_dir)
-    return days.groupBy(area_key(level, F.col("part")).alias("area"), period(F.col("day")).alias("ymd")).agg(
+def rolled_lines(spark: SparkSession, sf_dir: str, level: str, period) -> DataFrame:
+    """``line_facts`` likewise."""
+    days = _member_days(spark, sf_dir, "member_lines", line_facts, ("customer", "orders", "lineitem"))
+    return days.groupBy(_containing(F.col("area"), level).alias("area"), period(F.col("ymd")).alias("ymd")).agg(
         F.sum("admits").alias("admits"), F.sum("icu").alias("icu"))
 
 
@@ -117,8 +115,8 @@ def weekly_facts(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     keys = ["area", "ymd"]
     joined = (
         week_grid(spark, sf_dir, level)
-        .join(order_facts(spark, sf_dir, level, week_start), keys, "left")
-        .join(line_facts(spark, sf_dir, level, week_start), keys, "left")
+        .join(rolled_orders(spark, sf_dir, level, week_start), keys, "left")
+        .join(rolled_lines(spark, sf_dir, level, week_start), keys, "left")
     )
     pop = F.col("population").cast("double")
     zero = F.lit(0)
