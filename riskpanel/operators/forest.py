@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.operators.reshape import stack
+from riskpanel.session import materialize
 
 
 @dataclass(frozen=True)
@@ -29,13 +31,14 @@ class Refit:
     last: date
 
 
-def quarterly_refits(windows: DataFrame) -> list[Refit]:
-    """One refit per quarter of the evaluation dates, trained on the window of the quarter's first date. The result
-    has one row per quarter of the study."""
-    rows = windows.groupBy(F.trunc("end_date", "quarter").alias("q")).agg(
-        F.min_by(F.struct("lo_date", "hi_date"), "end_date").alias("w"),
-        F.min("end_date").alias("first"), F.max("end_date").alias("last")).orderBy("q").collect()
-    return [Refit(r["w"]["lo_date"], r["w"]["hi_date"], r["first"], r["last"]) for r in rows]
+def date_refits(windows: DataFrame) -> list[Refit]:
+    """A refit for every date, trained on the date's own window. Dates with the same window share one, as they share its training rows.
+
+    A window of the quarter before (``weeks`` 0) ends with that quarter. The result has at most one row per evaluation date."""
+    end_of_quarter = F.date_sub(F.add_months(F.date_add("lo_date", 1), 3), 1)
+    hi = F.when(F.col("weeks") == 0, F.least("hi_date", end_of_quarter)).otherwise(F.col("hi_date"))
+    rows = windows.groupBy("lo_date", hi.alias("hi")).agg(F.min("end_date").alias("first"), F.max("end_date").alias("last")).orderBy("first").collect()
+    return [Refit(r["lo_date"], r["hi"], r["first"], r["last"]) for r in rows]
 
 
 def _in(c: str, lo: date, hi: date):
@@ -44,17 +47,18 @@ def _in(c: str, lo: date, hi: date):
 
 def forest_scores(
     rows: DataFrame, refits: Sequence[Refit], outcomes: Sequence[str], features: Sequence[str], weight: str = "weight",
-    mtry: int = 1, n_trees: int = 100, max_depth: int = 3, seed: int = 123,
+    mtry: int = 1, n_trees: int = 100, max_depth: int = 3, seed: int = 123, at_once: int = 4,
 ) -> DataFrame:
     """Predicted probability per test row. With more than one ``mtry`` candidate, 5-fold cross-validation picks.
 
     A training set with a single label predicts that label; one without rows predicts NULL, and so does a test row
-    that lacks a feature.
+    that lacks a feature. ``at_once`` refits run side by side, and the predictions of each are stored when it is done.
     """
     vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     prepared = rows.withColumns({"label": F.col("outcome_value").cast("double"), "w": F.col(weight)})
-    out = []
-    for refit in refits:
+
+    def refitted(refit: Refit) -> DataFrame:
+        out = []
         train_all = prepared.where((F.col("ymd") > F.lit(refit.lo)) & (F.col("ymd") <= F.lit(refit.hi)))
         train_all = train_all.where(F.col("label").isNotNull() & F.col("w").isNotNull())
         test_all = prepared.where(_in("ymd", refit.first, refit.last))
@@ -73,7 +77,10 @@ def forest_scores(
             out.append(scored.withColumn("pred", vector_to_array("probability")[1]).select(*test.columns, "pred"))
             lacking = reduce(or_, [F.col(f).isNull() for f in features])
             out.append(test.where(lacking).withColumn("pred", F.lit(None).cast("double")))
-    return stack(out).drop("label", "w")
+        return materialize(stack(out).drop("label", "w"), "forest")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return stack(list(pool.map(refitted, refits)))
 
 
 def _fit(train: DataFrame, mtry: int, cap: int, n_trees: int, max_depth: int, seed: int):

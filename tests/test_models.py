@@ -172,3 +172,40 @@ def test_forest_short_cut_and_probabilities(panel):
     assert mixed.pred.dropna().between(0, 1).all()
     # Every area-week of the two test weeks is there; only rows without admissions lack a prediction.
     assert len(mixed) == 60 and (mixed.pred.isna() == mixed.admits_weekly.isna()).all()
+
+
+def test_every_date_has_its_own_forest_window(panel):
+    """A refit's rows are the quarterly window of each of its dates, no more and no less."""
+    windows = T.quarterly_windows(T.eval_dates(panel, "2021-04-01", "2021-07-20"))
+    days = panel.select("ymd").distinct()
+    want = {}
+    for r in T.in_windows(days, windows, 1).collect():
+        want.setdefault(r.end_date, set()).add(r.ymd)
+    dates = [r.end_date for r in windows.collect()]
+    refits = FO.date_refits(windows)
+    every = [r.ymd for r in days.collect()]
+    for d in dates:
+        mine = [r for r in refits if r.first <= d <= r.last]
+        assert len(mine) == 1 and {y for y in every if mine[0].lo < y <= mine[0].hi} == want[d]
+    assert len(refits) > len({(d.year, (d.month - 1) // 3) for d in dates})  # more than a forest a quarter
+
+
+def test_forest_query_asks_for_every_outcome_and_date(spark, monkeypatch):
+    from riskpanel.operators.rules import DEFAULT_OUTCOMES
+    from riskpanel.queries import models as M
+    from riskpanel.queries import shared as X
+
+    sf, asked = "/root/testdata/sf0.001", {}
+
+    def instead(rows, refits, outcomes, features, **_):
+        asked.update(refits=refits, outcomes=outcomes)
+        return rows.withColumn("pred", F.lit(None).cast("double"))
+
+    monkeypatch.setattr(M.FO, "forest_scores", instead)
+    rows = M.rf_variant(spark, sf)
+    labels = {r.outcome_label for r in rows.select("outcome_label").distinct().collect()}
+    assert labels == set(asked["outcomes"]) == set(DEFAULT_OUTCOMES) and len(labels) == 4
+    dates = [r.end_date for r in T.eval_dates(X.panel(spark, sf), X.START, X.END).collect()]
+    assert all(sum(r.first <= d <= r.last for r in asked["refits"]) == 1 for d in dates)
+    assert all((d - r.hi).days >= 21 for r in asked["refits"] for d in dates if r.first <= d <= r.last)
+    assert len(asked["refits"]) > 6  # the quarters
