@@ -209,3 +209,24 @@ def test_forest_query_asks_for_every_outcome_and_date(spark, monkeypatch):
     assert all(sum(r.first <= d <= r.last for r in asked["refits"]) == 1 for d in dates)
     assert all((d - r.hi).days >= 21 for r in asked["refits"] for d in dates if r.first <= d <= r.last)
     assert len(asked["refits"]) > 6  # the quarters
+
+
+def test_matrix_runs_on_every_level(spark, monkeypatch):
+    from riskpanel.queries import models as M
+    from riskpanel.queries import shared as X
+    from riskpanel.sources.commerce import LEVELS
+
+    fits = spark.createDataFrame([(4,)], "weeks int")
+
+    def areas(panel, *_):
+        return panel.agg(F.countDistinct("state").cast("double").alias("metric_value")).selectExpr(
+            "1 AS run_number", "'base' AS run", "'static' AS rule_kind", "'areas' AS metric", "metric_value")
+
+    monkeypatch.setattr(X, "_stored", {})
+    monkeypatch.setattr(M.L, "fit_logistic", lambda *_, **__: fits)
+    monkeypatch.setattr(M.L, "score", lambda rows, _: rows)
+    monkeypatch.setattr(M, "run_matrix", areas)
+    sf = "/root/testdata/sf0.001"
+    want = {(period, g, float(X.panel(spark, sf, g).select("state").distinct().count())) for g in LEVELS for period in ("base", "late")}
+    assert {(r.period, r.geo, r.mean_value) for r in M.analysis_matrix(spark, sf).collect()} == want
+    assert len({n for _, _, n in want}) == len(LEVELS)
