@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from pyspark.sql import functions as F
 
-from riskpanel.llm import bpe, chat, lines, minhash, mixing, pii, quality, sharding, tokenfiles, topk, toxicity
+from riskpanel.llm import bpe, chat, lines, merkle, minhash, mixing, pii, quality, sharding, tokenfiles, topk, toxicity
 from riskpanel.llm.common import table
 
 QUERIES = {}
@@ -90,6 +90,11 @@ def op11(spark, sf_dir):
     return tokenfiles.report(table(spark, sf_dir, "documents"))
 
 
+@query("op12_merkle_manifest", merkle.report_sql())
+def op12(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
