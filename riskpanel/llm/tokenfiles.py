@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from riskpanel.llm.bpe import PIECES, WHITE, Codec, default_path, unpack
 from riskpanel.llm.common import slices
 from riskpanel.llm.order import in_order
-from riskpanel.session import scratch_path
+from riskpanel.session import materialize, scratch_path
 
 LONG = 1000  # characters; longer pieces go to the heap of the codec
 FILE = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
@@ -103,11 +103,11 @@ def write(docs: DataFrame, path: str, params: TokenFileParams = TokenFileParams(
 
 def read(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids``; with ``doc_ids`` only these documents, found by the
-    statistics and Bloom filters of the files."""
+    statistics and Bloom filters of the files. Runs jobs when called: the sums before the shards are written, so that their size is known."""
     files = spark.read.schema(FILE).orc(path)
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    shards = shards.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    shards = materialize(shards.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before")), "token_shards")
     rows = files if doc_ids is None else files.where(F.col("doc_id").isin(list(doc_ids)))
     return rows.join(shards, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
 
