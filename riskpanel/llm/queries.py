@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from pyspark.sql import functions as F
 
-from riskpanel.llm import bpe, chat, lines, merkle, minhash, mixing, pii, quality, sharding, tokenfiles, topk, toxicity
+from riskpanel.llm import bpe, chat, lines, merkle, minhash, mixing, pii, quality, sharding, tokenfiles, topk, toxicity, trie
 from riskpanel.llm.common import table
 
 QUERIES = {}
@@ -95,6 +95,11 @@ def op12(spark, sf_dir):
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+@query("op13_prefix_trie", trie.prefix_trie_sql())
+def op13(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
