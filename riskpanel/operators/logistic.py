@@ -1,8 +1,9 @@
 """Many weighted logistic regressions at once.
 
 Every (evaluation date x outcome x specification) is one fit. All fits advance together: an iteration is one pass
-over the training rows that sums, per fit, the normal equations of the next weighted least-squares step. Sums
-combine map-side, so neither an area nor a fit has to be gathered in one place; what is left per fit is a row of
+over the training rows that sums, per fit, the normal equations of the next weighted least-squares step. Rows lie in blocks
+of one date and outcome, and a block adds itself to all fits that it trains by a few matrix products. Sums
+combine within a task, so neither an area nor a fit has to be gathered in one place; what is left per fit is a row of
 about fifty numbers, solved in batches on the executors.
 """
 
@@ -15,6 +16,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +68,10 @@ _B = [f"b{j}" for j in range(_P)]
 _M = [f"m_{f}" for f in FEATURES]
 _G = [f"g{j}_{k}" for j, k in _PAIRS]
 _R = [f"r{j}" for j in range(_P)]
+_SUMS = [*_G, *_R, "dev", "n_rows"]
 _MAX_ETA = 30.0
+BLOCK_ROWS = 4096
+TASK_ROWS = 16_384  # a row is met by dozens of fits, so a task takes few of them
 # A column whose remaining sum of squares falls below this share of its own is a combination of earlier ones.
 _ALIAS_TOL = 1e-13
 
@@ -102,6 +107,15 @@ def _all(conds: Sequence[Column]) -> Column:
     return out
 
 
+@dataclass(frozen=True)
+class FitSet:
+    """Fits that share window lengths and a weighting."""
+
+    specs: tuple[Spec, ...] = DEFAULT_SPECS
+    weeks: tuple[int, ...] = (4,)
+    weight: str = "weight"
+
+
 def fit_table(dates: DataFrame, specs: Sequence[Spec], outcomes: Sequence[str], weeks: Sequence[int]) -> DataFrame:
     """One row per fit: window, specification, outcome and which features it uses."""
     def entries(quarterly: bool) -> Column:
@@ -123,28 +137,84 @@ def fit_table(dates: DataFrame, specs: Sequence[Spec], outcomes: Sequence[str],
     return fits.withColumn("fit_id", F.concat_ws("|", "spec", "outcome_label", "weeks", "end_date"))
 
 
-def _normal_equations(rows: DataFrame, fits: DataFrame, max_weeks: int, first: bool) -> DataFrame:
-    """Per fit: X'WX, X'Wz, deviance and row count at the current coefficients."""
-    side = fits.select("fit_id", "outcome_label", "window_key", "lo_date", "hi_date", *_M, *([] if first else _B))
-    complete = " AND ".join(f"(NOT m_{f} OR x_{f} IS NOT NULL)" for f in FEATURES)
-    joined = in_windows(rows, side, max_weeks, on=("outcome_label",)).where(complete)
-    x = {"one": "1e0"} | {f"x_{f}": f"coalesce(x_{f}, 0e0)" for f in FEATURES}
-    if first:
-        # Usual start of a binomial fit: each row's own weighted label, pulled towards one half.
-        eta = "ln((w * y + 0.5e0) / (w * (1 - y) + 0.5e0))"
-    else:
-        linear = " + ".join(f"{b} * {xi}" for b, xi in zip(_B, x.values(), strict=True))
-        eta = f"greatest(least({linear}, {_MAX_ETA}e0), -{_MAX_ETA}e0)"
-    point = (
-        joined.selectExpr("fit_id", "y", "w", f"{eta} AS eta", *[f"{xi} AS {n}" for n, xi in x.items()])
-        .selectExpr("*", "1 / (1 + exp(-eta)) AS mu")
-        .selectExpr("*", "w * mu * (1 - mu) AS iw", "w * mu * (1 - mu) * eta + w * (y - mu) AS iz")
-    )
-    sums = [f"sum(iw * {_X[j]} * {_X[k]}) AS {g}" for (j, k), g in zip(_PAIRS, _G, strict=True)]
-    sums += [f"sum(iz * {_X[j]}) AS {r}" for j, r in enumerate(_R)]
-    sums += ["sum(-2 * w * ln(if(y = 1, mu, 1 - mu))) AS dev", "count(*) AS n_rows"]
+def packed_rows(rows: DataFrame, weights: Sequence[str]) -> DataFrame:
+    """Training rows in blocks of at most ``BLOCK_ROWS`` rows of one group, outcome and date: ``data`` holds the label, the weights and the
+    features of a block as doubles, row by row, NaN for NULL."""
+    columns = ["y", *weights, *[f"x_{f}" for f in FEATURES]]
+    schema = pa.schema([("grp", pa.string()), ("outcome_label", pa.string()), ("ymd", pa.date32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+            keys = [batch.column(c).to_pylist() for c in ("grp", "outcome_label", "ymd")]
+            cuts = [0, *[i for i in range(1, len(batch)) if any(k[i] != k[i - 1] for k in keys)], len(batch)]
+            out = []
+            for a, z in zip(cuts, cuts[1:]):
+                for at in range(a, z, BLOCK_ROWS):
+                    out.append((*[k[a] for k in keys], values[at:min(at + BLOCK_ROWS, z)].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    ordered = rows.repartitionByRange(tasks, "grp", "outcome_label", "ymd", F.xxhash64(*columns)).sortWithinPartitions("grp", "outcome_label", "ymd")
+    return ordered.select("grp", "outcome_label", "ymd", *columns).mapInArrow(run, "grp string, outcome_label string, ymd date, data binary")
+
+
+def _partial_sums(n_weights: int, first: bool):
+    """Adds up, for the blocks of a task, the normal equations of all fits that they train; one row per fit and task leaves it."""
+    pairs = np.array(_PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[int, int] = {}
+        total = np.zeros((256, len(_SUMS)))
+        for batch in batches:
+            lists = batch.column("fits")
+            ends, fits = lists.offsets.to_numpy(), lists.values
+            numbers, weight_at, masks = (fits.field(c).to_numpy(zero_copy_only=False) for c in ("fit_no", "w", "mask"))
+            betas = fits.field("b").flatten().to_numpy(zero_copy_only=False).reshape(-1, _P)
+            for i, data in enumerate(batch.column("data")):
+                rows = np.frombuffer(data.as_buffer(), float).reshape(-1, 1 + n_weights + len(FEATURES))
+                y = rows[:, :1]
+                x = np.column_stack([np.ones(len(rows)), rows[:, 1 + n_weights:]])
+                missing = np.isnan(x) @ (1 << np.arange(_P))
+                x = np.nan_to_num(x)
+                products = x[:, pairs[:, 0]] * x[:, pairs[:, 1]]
+                for at in range(ends[i], ends[i + 1], 64):
+                    part = slice(at, min(at + 64, ends[i + 1]))
+                    w = rows[:, 1 + weight_at[part]]
+                    ok = ((missing[:, None] & masks[None, part]) == 0) & (w > 0)
+                    w = np.where(ok, w, 0.0)
+                    if first:  # usual start of a binomial fit: each row's own weighted label, pulled towards one half
+                        eta, mu = np.log((w * y + 0.5) / (w * (1 - y) + 0.5)), (w * y + 0.5) / (w + 1)
+                    else:
+                        eta = np.clip(x @ betas[part].T, -_MAX_ETA, _MAX_ETA)
+                        mu = 1 / (1 + np.exp(-eta))
+                    iw = w * mu * (1 - mu)
+                    iz = iw * eta + w * (y - mu)
+                    deviance = -2 * w * np.log(np.where(y == 1, mu, 1 - mu))
+                    sums = np.column_stack([iw.T @ products, iz.T @ x, deviance.sum(axis=0), ok.sum(axis=0)])
+                    where = [slots.setdefault(int(k), len(slots)) for k in numbers[part]]
+                    if len(slots) > len(total):
+                        total = np.concatenate([total, np.zeros((max(len(total), len(slots)), len(_SUMS)))])
+                    total[where] += sums  # a fit comes once a block
+        if slots:
+            yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int64()), *[pa.array(c) for c in total[:len(slots)].T]], ["fit_no", *_SUMS])
+
+    return run
+
+
+def _normal_equations(packed: DataFrame, keys: DataFrame, fits: DataFrame, max_weeks: int, weights: Sequence[str], first: bool) -> DataFrame:
+    """Per fit: X'WX, X'Wz, deviance and row count at the current coefficients. Each block meets the fits that it trains as one list."""
+    weight_at = F.array_position(F.array(*map(F.lit, weights)), F.col("weight_name")).cast("int") - 1
+    mask = sum((F.when(F.col(m), 2 << j).otherwise(0) for j, m in enumerate(_M)), F.lit(1))
+    side = fits.select("grp", "outcome_label", "window_key", "lo_date", "hi_date", F.struct(
+        "fit_no", weight_at.alias("w"), mask.cast("long").alias("mask"), F.array(*_B).alias("b")).alias("fit"))
+    met = in_windows(keys, side, max_weeks, on=("grp", "outcome_label")).groupBy("grp", "outcome_label", "ymd").agg(F.collect_list("fit").alias("fits"))
+    schema = "fit_no long, " + ", ".join(f"{c} double" for c in _SUMS)
+    partial = packed.join(met, ["grp", "outcome_label", "ymd"]).select("data", "fits").mapInArrow(_partial_sums(len(weights), first), schema)
+    sums = ", ".join(f"sum({c}) AS {c}" for c in _SUMS)
     # One SQL text instead of fifty column objects: this plan is built once per step.
-    return rows.sparkSession.sql(f"SELECT fit_id, {', '.join(sums)} FROM {{point}} GROUP BY fit_id", point=point)
+    return packed.sparkSession.sql(f"SELECT fit_no, {sums} FROM {{partial}} GROUP BY fit_no", partial=partial).where("n_rows > 0")
 
 
 def solve_systems(gram: np.ndarray, rhs: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +265,7 @@ def _advance(step: int, tol: float, max_iter: int):
 
 
 _FIT_SCHEMA = (
-    "fit_id string, spec string, outcome_label string, weeks int, end_date date, window_key int, lo_date date, "
+    "fit_no long, fit_id string, grp string, weight_name string, spec string, outcome_label string, weeks int, end_date date, window_key int, lo_date date, "
     "hi_date date, " + ", ".join(f"{m} boolean" for m in _M) + ", " + ", ".join(f"{b} double" for b in _B)
     + ", old_dev double, n_train long, n_aliased int, iterations int, state string"
 )
@@ -212,22 +282,38 @@ def fit_logistic(
     ``rows`` is the panel by outcome (``model_rows``), ``dates`` the evaluation dates. A fit stops when its deviance
     changes by less than ``tol`` relative, or after ``max_iter`` steps; finished fits leave the iteration.
     """
-    max_weeks = max(weeks)
-    spark = rows.sparkSession
-    # Every row is met by many fits, so the work per byte is high: spread the rows over all cores, whatever their size.
-    training = materialize(rows.where(F.col("outcome_value").isNotNull() & (F.col(weight) > 0)).select(
-        "outcome_label", "ymd", F.col("outcome_value").cast("double").alias("y"), F.col(weight).alias("w"),
-        *[F.col(c).cast("double").alias(f"x_{f}") for f, c in FEATURES.items()],
-    ).repartition(spark.sparkContext.defaultParallelism), "training_rows")
+    sets = [FitSet(tuple(specs), tuple(weeks), weight)]
+    return fit_sets(rows.withColumn("grp", F.lit("")), dates, sets, [""], outcomes, tol, max_iter).drop("fit_no", "grp", "weight_name")
+
+
+def fit_sets(
+    rows: DataFrame, dates: DataFrame, sets: Sequence[FitSet], groups: Sequence[str], outcomes: Sequence[str] = DEFAULT_OUTCOMES,
+    tol: float = 1e-8, max_iter: int = 25,
+) -> DataFrame:
+    """Coefficients of several sets of fits for each group of rows (column ``grp``, such as a geography), all in the same steps: a step costs about
+    the same for one set of one group as for all. The result names the weighting of a set in ``weight_name``."""
+    max_weeks = max(w for s in sets for w in s.weeks)
+    weights = sorted({s.weight for s in sets})
     blank = {b: F.lit(0.0) for b in _B} | {
         "old_dev": F.lit(None).cast("double"), "n_train": F.lit(0).cast("long"), "n_aliased": F.lit(0),
-        "iterations": F.lit(0), "state": F.lit("active"),
+        "iterations": F.lit(0), "state": F.lit("active"), "grp": F.explode(F.array(*map(F.lit, groups))),
     }
-    active = materialize(fit_table(dates, specs, outcomes, weeks).withColumns(blank).select(*_FIT_COLUMNS), "fits")
+    tables = [fit_table(dates, s.specs, outcomes, s.weeks).withColumn("weight_name", F.lit(s.weight)) for s in sets]
+    table = tables[0]
+    for t in tables[1:]:
+        table = table.unionByName(t)
+    active = materialize(table.withColumns(blank).withColumn("fit_no", F.monotonically_increasing_id()).select(*_FIT_COLUMNS), "fits")
+    span = active.agg(F.min("lo_date"), F.max("hi_date")).first()  # two dates
+    known = F.col("outcome_value").isNotNull() & (F.col("ymd") > F.lit(span[0])) & (F.col("ymd") <= F.lit(span[1]))
+    training = rows.where(known).select(
+        "grp", "outcome_label", "ymd", F.col("outcome_value").cast("double").alias("y"), *[F.col(w).cast("double").alias(w) for w in weights],
+        *[F.col(c).cast("double").alias(f"x_{f}") for f, c in FEATURES.items()])
+    packed = materialize(packed_rows(training, weights), "training_blocks")
+    keys = materialize(packed.select("grp", "outcome_label", "ymd").distinct(), "training_dates")
     finished: list[DataFrame] = []
     for step in range(max_iter + 1):
-        sums = _normal_equations(training, active, max_weeks, first=step == 0)
-        stepped = active.join(sums, "fit_id", "left").mapInPandas(_advance(step, tol, max_iter), _FIT_SCHEMA)
+        sums = _normal_equations(packed, keys, active, max_weeks, weights, first=step == 0)
+        stepped = active.join(sums, "fit_no", "left").mapInPandas(_advance(step, tol, max_iter), _FIT_SCHEMA)
         table = materialize(stepped, f"fits_{step}", partition_by=["state"]).select(*_FIT_COLUMNS)
         finished.append(table.where("state <> 'active'"))
         active = table.where("state = 'active'")
