@@ -325,8 +325,9 @@ def fit_sets(
     return out.withColumnRenamed("old_dev", "deviance").drop("window_key")
 
 
-def score(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """Predicted probability of each row of an evaluation date under every fit of that date.
+def score(rows: DataFrame, fits: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Predicted probability of each row of an evaluation date under every fit of that date; ``on`` adds equality columns present on both
+    sides, and ``weight_name`` of the fits is kept.
 
     A row that lacks a used feature, or whose fit had no training rows, gets a NULL prediction.
     """
@@ -335,10 +336,13 @@ def score(rows: DataFrame, fits: DataFrame) -> DataFrame:
         eta = eta + F.when(F.col(f"m_{f}"), F.col(b) * F.col(c)).otherwise(0.0)
     side = fits.select(
         F.when(F.col("state") != "empty", True).alias("fitted"), "spec", "weeks", F.col("outcome_label").alias("k_outcome"), F.col("end_date").alias("test_date"),
-        "n_train", *_M, *_B,
+        "n_train", *_M, *_B, *[F.col(c).alias(f"k_{c}") for c in on], *[c for c in fits.columns if c == "weight_name"],
     )
-    joined = rows.join(side, (F.col("outcome_label") == F.col("k_outcome")) & (F.col("ymd") == F.col("test_date")))
-    return joined.withColumn("pred", F.when(F.col("fitted"), 1 / (1 + F.exp(-eta)))).drop("fitted", "k_outcome", *_M, *_B)
+    met = (F.col("outcome_label") == F.col("k_outcome")) & (F.col("ymd") == F.col("test_date"))
+    for c in on:
+        met = met & (F.col(c) == F.col(f"k_{c}"))
+    joined = rows.join(side, met)
+    return joined.withColumn("pred", F.when(F.col("fitted"), 1 / (1 + F.exp(-eta)))).drop("fitted", "k_outcome", *[f"k_{c}" for c in on], *_M, *_B)
 
 
 def predicted_class(pred: Column, mult: Column | float) -> Column:

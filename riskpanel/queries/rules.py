@@ -11,7 +11,6 @@ from riskpanel.queries import query
 from riskpanel.queries import shared as X
 
 _GRID = X.GRIDS["CHO"]
-_DEATHS = ("zeke_time_3", "two_zeke_time_3")
 _METRICS = X.rounded_sql(X.METRIC_COLUMNS)
 
 
@@ -72,7 +71,7 @@ def threshold_grid_rules(spark, sf_dir):
     return R.rule_counts(X.panel(spark, sf_dir, "member"), _GRID, {"quarter_label": quarter_label(F.col("ymd"))})
 
 
-@query("define_metrics", f"""WITH {X.panel_sql()}, {X.outcomes_sql(_DEATHS)}, {X.grid_sql([_GRID])},
+@query("define_metrics", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {X.grid_sql([_GRID])},
 r AS (SELECT state, ymd, outcome_label, y, z_cov, 'rule' AS rule_kind, var, c, a, p,
     CAST(cases_weekly >= c AND admits_weekly >= a AND perc_covid_100 >= p AS DOUBLE) AS v
   FROM long CROSS JOIN grid_rules
@@ -83,9 +82,7 @@ SELECT state, ymd, outcome_label, y AS outcome_value, z_cov AS current_zeke, rul
   a AS admit_levels, p AS perc_levels, v AS value FROM r WHERE {X.IN_RANGE}""")
 def define_metrics(spark, sf_dir):
     grid = R.Grid(_GRID.case, _GRID.admit, _GRID.perc)
-    frame = R.define_metrics(
-        X.panel(spark, sf_dir).where(F.col("ymd").between(X.START, X.END)), grid, _DEATHS
-    )
+    frame = R.define_metrics(X.panel(spark, sf_dir).where(F.col("ymd").between(X.START, X.END)), grid)
     return frame.select("state", "ymd", "outcome_label", "outcome_value", "current_zeke", "rule_kind", "var",
                         "case_levels", "admit_levels", "perc_levels", "value")
 

@@ -19,9 +19,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def write_parts(df: DataFrame, path: str, parts: Sequence[str]) -> None:
+    """Writes rows by the partition columns ``parts``. Partitions that have rows here are replaced and all others stay, so a second run leaves the
+    same rows."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
 def write_panel(panel: DataFrame, path: str, geography: str) -> None:
-    """Appends one geography's weekly panel to the panel dataset."""
-    panel.withColumn("geo", F.lit(geography)).write.mode("append").partitionBy("geo").parquet(path)
+    """Puts one geography's weekly panel into the panel dataset, in place of what it had there."""
+    write_parts(panel.withColumn("geo", F.lit(geography)), path, ["geo"])
 
 
 def read_panel(spark: SparkSession, path: str, geography: str | None = None) -> DataFrame:
@@ -33,13 +39,18 @@ def read_panel(spark: SparkSession, path: str, geography: str | None = None) ->
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:
-    """Appends scored rows to the prediction dataset, by specification and outcome."""
-    scored.write.mode("append").partitionBy("spec", "outcome_label").parquet(path)
+    """Puts scored rows into the prediction dataset, by specification and outcome."""
+    write_parts(scored, path, ["spec", "outcome_label"])
+
+
+def write_results(df: DataFrame, path: str, parts: Sequence[str]) -> None:
+    """Puts result rows into the result dataset under the columns ``parts``, such as ``period`` and ``geo``."""
+    write_parts(df, path, parts)
 
 
 def append_results(df: DataFrame, path: str, **parts: str) -> None:
-    """Appends result rows under constant partition columns such as ``level`` or ``period``."""
-    df.withColumns({k: F.lit(v) for k, v in parts.items()}).write.mode("append").partitionBy(*parts).parquet(path)
+    """Adds the result rows of one block, named by constant partition columns such as ``level`` or ``period``; a block that was written before is replaced."""
+    write_parts(df.withColumns({k: F.lit(v) for k, v in parts.items()}), path, list(parts))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
