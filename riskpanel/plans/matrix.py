@@ -84,7 +84,8 @@ def static_cube(
     levels that they reach, for both weightings side by side, and the cells meet the rules."""
     grids = list({g.kind: g for g in (grid_for(r.uses, *levels) for r in runs)}.values())
     reached, cuts = reached_levels(grids)
-    rows = with_outcomes(_with_spans(panels, studies)).withColumns(reached | {"y": F.col("outcome_value").cast("boolean"), "z": F.col("z_rule") > 0})
+    outcomes = list(dict.fromkeys(o for r in runs for o in r.outcomes))
+    rows = with_outcomes(_with_spans(panels, studies), outcomes).withColumns(reached | {"y": F.col("outcome_value").cast("boolean"), "z": F.col("z_rule") > 0})
     keys = ["geo", "outcome_label", "quarter_label", "span"]
     cells = rows.groupBy(*keys, *reached, "cdc_flag", "z", "y").agg(
         F.count(F.lit(1)).alias("n"), *[F.count(w).alias(f"n_{w}") for w in WEIGHTS], *[F.coalesce(F.sum(w), F.lit(0.0)).alias(f"w_{w}") for w in WEIGHTS])

@@ -211,22 +211,54 @@ def test_forest_query_asks_for_every_outcome_and_date(spark, monkeypatch):
     assert len(asked["refits"]) > 6  # the quarters
 
 
-def test_matrix_runs_on_every_level(spark, monkeypatch):
-    from riskpanel.queries import models as M
-    from riskpanel.queries import shared as X
-    from riskpanel.sources.commerce import LEVELS
-
-    fits = spark.createDataFrame([(4,)], "weeks int")
-
-    def areas(panel, *_):
-        return panel.agg(F.countDistinct("state").cast("double").alias("metric_value")).selectExpr(
-            "1 AS run_number", "'base' AS run", "'static' AS rule_kind", "'areas' AS metric", "metric_value")
-
-    monkeypatch.setattr(X, "_stored", {})
-    monkeypatch.setattr(M.L, "fit_logistic", lambda *_, **__: fits)
-    monkeypatch.setattr(M.L, "score", lambda rows, _: rows)
-    monkeypatch.setattr(M, "run_matrix", areas)
-    sf = "/root/testdata/sf0.001"
-    want = {(period, g, float(X.panel(spark, sf, g).select("state").distinct().count())) for g in LEVELS for period in ("base", "late")}
-    assert {(r.period, r.geo, r.mean_value) for r in M.analysis_matrix(spark, sf).collect()} == want
-    assert len({n for _, _, n in want}) == len(LEVELS)
+def test_matrix_from_cubes_equals_run_by_run(spark, panel):
+    from riskpanel.operators import scoring as S
+    from riskpanel.plans import matrix as M
+
+    levels = ((2.0, 4.0), (3.0, 6.0), (10.0,))
+    runs = [M.Run(1, "base", "H", weeks=4, outcomes=OUTCOMES), M.Run(2, "w8", "CH", weeks=8, outcomes=OUTCOMES), M.Run(10, "0", "", prevalence=True, outcomes=OUTCOMES[:1]),
+            M.Run(11, "uw", "H", weeks=4, equal_weight=True, outcomes=OUTCOMES), M.Run(12, "roc", "H", weeks=4, outcomes=OUTCOMES, sweep=True)]
+    studies = {"base": STUDY, "late": E.Study("2021-06-01", "2021-07-10", "2021-06-30")}
+    both = panel.withColumn("geo", F.lit("all")).unionByName(panel.where("state < 's2'").withColumn("geo", F.lit("some")))
+    rows = L.model_rows(both, OUTCOMES)
+    fits = L.fit_sets(rows.withColumn("grp", F.col("geo")), T.eval_dates(panel, STUDY.start, STUDY.end), M.fit_sets(runs), ["all", "some"], OUTCOMES).cache()
+    scored = L.score(rows, fits.withColumnRenamed("grp", "geo"), on=["geo"]).cache()
+    table = M.run_matrix(M.static_cube(both, studies, levels, runs),
+                         M.adaptive_cube(scored, studies, [*E.ROC_CUTS, *M.PREFERENCES.values()]), studies, runs).cache()
+    columns = ("rule_kind", "var", "outcome_label", "quarter", "mult", "metric", "metric_value")
+
+    def key(df):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.select(*columns).collect())
+
+    for period, study in studies.items():
+        for geo in ("all", "some"):
+            own, mine = both.where(F.col("geo") == geo), scored.where(F.col("geo") == geo)
+            for r in runs:
+                weight = M.WEIGHTS[r.equal_weight]
+                pred = mine.where((F.col("weight_name") == weight) & F.col("spec").isin(*[s.name for s in L.DEFAULT_SPECS])).where(F.col("outcome_label").isin(*r.outcomes))
+                grid = M.grid_for(r.uses, *levels)
+                if r.sweep:
+                    want = E.roc_estimates(own, grid, study, pred.where(F.col("weeks").isin(0, r.weeks)), outcomes=r.outcomes)
+                else:
+                    prefs = E.NO_PREFERENCES if r.prevalence else M.PREFERENCES
+                    want = S.with_preferences(S.rule_sums(own, [grid], r.outcomes, study.start, study.end, study.split, weight=weight), prefs)
+                    if r.weeks:
+                        want = want.unionByName(E.adaptive_metrics(pred, study, prefs, weeks=r.weeks, weight=weight).withColumn("type", F.lit(r.uses)))
+                    want = S.to_metric_rows(want)
+                got = table.where((F.col("period") == period) & (F.col("geo") == geo) & (F.col("run_number") == r.number))
+                assert key(got) == key(want), (period, geo, r.name)
+
+
+def test_sinks_can_be_run_again(spark, tmp_path):
+    from riskpanel.sources import tables as IO
+
+    rows = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 2.0), ("b", "y", 3.0)], "spec string, outcome_label string, pred double")
+    for _ in range(2):
+        IO.write_predictions(rows, str(tmp_path / "predictions"))
+        IO.write_panel(rows, str(tmp_path / "panel"), "state")
+        IO.append_results(rows, str(tmp_path / "results"), period="base", level="state")
+    IO.write_predictions(rows.where("spec = 'b'").withColumn("pred", F.lit(9.0)), str(tmp_path / "predictions"))  # 'a' stays
+    IO.write_panel(rows.limit(1), str(tmp_path / "panel"), "group")
+    assert sorted(r.pred for r in IO.read_results(spark, str(tmp_path / "predictions")).collect()) == [1.0, 9.0, 9.0]
+    assert IO.read_panel(spark, str(tmp_path / "panel"), "state").count() == 3 and IO.read_panel(spark, str(tmp_path / "panel")).count() == 4
+    assert IO.read_results(spark, str(tmp_path / "results")).count() == 3
