@@ -32,6 +32,14 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str) -> Iterator[pa.R
             yield batch.slice(start)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no frame has such a column (names are compared without case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while they last: the most recent ``limit`` distinct words."""
 

@@ -31,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskpanel.llm.common import WordHashes, mix64, slices
+from riskpanel.llm.common import WordHashes, mix64, slices, unused
 from riskpanel.llm.components import components
 from riskpanel.session import materialize
 
 
+WORDS_KEPT = 100_000  # words whose hashes a task remembers
+
+
 @dataclass(frozen=True)
 class NearParams:
     words: int = 5
@@ -73,6 +76,7 @@ def shingles(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
 class Minima:
     def __init__(self, params: NearParams):
         random = np.random.default_rng(params.seed)
+        self.width = 4 * params.rows
         self.a = random.integers(0, 2**63, params.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = random.integers(0, 2**63, params.hashes, dtype=np.uint64)
 
@@ -83,41 +87,48 @@ class Minima:
             np.minimum(least, (self.a[:, None] * x[None, at:at + 512] + self.b[:, None]).min(axis=1), out=least)
         return (least >> np.uint64(32)).astype("<u4")
 
+    def bands(self, x: np.ndarray) -> list[int]:
+        """A key for each band of the signature."""
+        packed = self.signature(x).tobytes()
+        return [xxhash.xxh64_intdigest(packed[i:i + self.width], seed=i) - 2**63 for i in range(0, len(packed), self.width)]
+
 
 def sketch(docs: DataFrame, params: NearParams) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``h1``, ``h2`` (hash of the set, NULL if empty), ``signature``."""
+    """``doc_id``, ``n_shingles``, ``h1``, ``h2`` (hash of the set, NULL if empty), ``bands`` (a key each). Signatures are not kept: only texts that meet
+    another in a band need theirs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minima = WordHashes(), Minima(params)
+        hashes, minima = WordHashes(WORDS_KEPT), Minima(params)
         for batch in slices(batches, "text"):
-            n, h1, h2, sig = [], [], [], []
+            n, h1, h2, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
                 x = shingles(text, params.words, hashes)
                 n.append(len(x))
                 key = xxhash.xxh128_digest(x.tobytes()) if len(x) else None
                 h1.append(int.from_bytes(key[:8], "big", signed=True) if key else None)
                 h2.append(int.from_bytes(key[8:], "big", signed=True) if key else None)
-                sig.append(minima.signature(x).tobytes() if key else None)
+                bands.append(minima.bands(x) if key else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                              pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "signature"])
+                                              pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, params: NearParams) -> DataFrame:
-    """``node``, ``h1``, ``h2``, ``members`` (the shingle hashes, packed) of the rows of ``docs``."""
+    """``node``, ``h1``, ``h2``, ``signature``, ``members`` (the shingle hashes, packed) of the rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, minima = WordHashes(WORDS_KEPT), Minima(params)
         for batch in slices(batches, "text"):
-            packed = [shingles(t, params.words, hashes).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, params.words, hashes) for t in batch.column("text").to_pylist()]
+            packed = [x.astype("<u8").tobytes() for x in sets]
             keys = [xxhash.xxh128_digest(x) for x in packed]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([int.from_bytes(k[:8], "big", signed=True) for k in keys], pa.int64()),
-                pa.array([int.from_bytes(k[8:], "big", signed=True) for k in keys], pa.int64()), pa.array(packed, pa.binary())],
-                ["node", "h1", "h2", "members"])
+                pa.array([int.from_bytes(k[8:], "big", signed=True) for k in keys], pa.int64()),
+                pa.array([minima.signature(x).tobytes() for x in sets], pa.binary()), pa.array(packed, pa.binary())], ["node", "h1", "h2", "signature", "members"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, h1 long, h2 long, members binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, h1 long, h2 long, signature binary, members binary")
 
 
 class Compared:
@@ -147,10 +158,7 @@ class Compared:
 
 def links(docs: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
     """``u``, ``v``: enough links between nodes to connect all that are linked through pairs sharing a band."""
-    width = 4 * params.rows
-    keys = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)),
-                       lambda b: F.xxhash64(b, F.substring("signature", b * width + 1, F.lit(width))))
-    bands = nodes.select("node", F.explode(keys).alias("key"))
+    bands = nodes.select("node", F.explode("bands").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     met = materialize(bands.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct(), "near_met")
 
@@ -160,7 +168,7 @@ def links(docs: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
     ids = involved.withColumnRenamed("node", "doc_id")
     ids = F.broadcast(ids) if involved.count() <= 1_000_000 else ids  # 8 bytes each; beyond that Spark joins by shuffling
     sets = full_sets(texts.join(ids, "doc_id", "left_semi"), params)
-    sets = sets.join(nodes.select("node", "h1", "h2", "signature"), ["node", "h1", "h2"]).dropDuplicates(["node", "h1", "h2"]).select("node", "signature", "members")
+    sets = sets.join(nodes.select("node", "h1", "h2"), ["node", "h1", "h2"]).dropDuplicates(["node", "h1", "h2"]).select("node", "signature", "members")
     sets = materialize(sets, "near_sets")
 
     sizes = met.groupBy("pivot").agg(F.count("*").alias("n"))
@@ -236,10 +244,10 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, one row per row of ``docs``. Runs jobs when called."""
     sketched = materialize(sketch(docs, params), "near_sketch")
     own = sketched.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))  # equal sets
-    signed = own.join(nodes, [own.h1 == nodes.h1, own.h2 == nodes.h2, own.doc_id == nodes.node], "left_semi")
-    signed = materialize(signed.select(F.col("doc_id").alias("node"), "h1", "h2", "signature").dropDuplicates(["node", "h1", "h2"]), "near_nodes")
-    found = links(docs, signed, params)
+    nodes = own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("least"))  # equal sets, which have equal bands
+    nodes = materialize(nodes.select(F.col("least.doc_id").alias("node"), "h1", "h2", F.col("least.bands").alias("bands")), "near_nodes")
+    found = links(docs, nodes, params)
+    nodes = nodes.select("node", "h1", "h2")
     # A doc_id whose rows have different texts is one document: its nodes are linked.
     same = own.select("doc_id", "h1", "h2").distinct().join(nodes, ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     several = own.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("z")).where("a <> z").select("doc_id")
@@ -254,5 +262,6 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
 def keep(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """The rows of ``docs`` whose document stays, one document of each component, with all columns: a stage of a pipeline. A document
     that goes is named by its id, which is all that is joined back."""
-    gone = near_duplicates(docs, params).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    gone_id = unused("gone_id", docs)
+    gone = near_duplicates(docs, params).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(gone_id), "left_anti")
