@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskpanel.llm.common import unused
 from riskpanel.session import materialize
 
 PRIME = 2147483647
@@ -101,17 +102,18 @@ def remaining(text: Column, cuts: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), segment)), "\n")
 
 
-def marked(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """``docs`` with two columns more, ``_cuts`` and ``_text``: what was cut (NULL if nothing) and the text that remains."""
-    cuts = repeated(docs, params).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("cuts").alias("_cuts"))
-    own = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash(docs["text"]) == F.col("_th"))
-    out = docs.join(cuts, own, "left").drop("_id", "_th")
-    return out.withColumn("_text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(remaining(F.col("text"), F.col("_cuts"))))
+def marked(docs: DataFrame, params: LineParams = LineParams()) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more, and their names, which no other column has: what was cut (NULL if nothing) and the text that remains."""
+    cut, left, own_id, th = (unused(c, docs) for c in ("_cuts", "_text", "_id", "_th"))
+    cuts = repeated(docs, params).select(F.col("doc_id").alias(own_id), F.col("th").alias(th), F.col("cuts").alias(cut))
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (text_hash(docs["text"]) == F.col(th))
+    out = docs.join(cuts, own, "left").drop(own_id, th)
+    return out.withColumn(left, F.when(F.col(cut).isNull(), F.col("text")).otherwise(remaining(F.col("text"), F.col(cut)))), cut, left
 
 
 def report(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_cut_chunks``, ``n_cut_lines``, ``text`` (what remains), one row per row of ``docs``."""
-    out = marked(docs.select("doc_id", "text"), params)
+    out, _, _ = marked(docs.select("doc_id", "text"), params)
     cut_lines = F.aggregate("_cuts", F.lit(0), lambda a, c: a + c["n"])
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -123,9 +125,10 @@ def report(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
 def dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``: a stage of a pipeline. ``n_chars``, if there, follows the text."""
     kept = docs.columns
-    out = marked(docs, params).withColumn("text", F.col("_text"))
+    out, cut, left = marked(docs, params)
+    out = out.withColumn("text", F.col(left))
     if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in kept])
 
 

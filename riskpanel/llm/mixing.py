@@ -5,7 +5,7 @@
    repeated more than ``repeat`` times. The source table is never collected: each step evaluates several exponents in one aggregation.
 2. The token budget of a source is its weight times the budget of the mix, rounded down; it is spent in epochs. A source's documents form blocks
    of about ``block_docs`` by a hash; each epoch runs through the blocks in a keyed permutation of its own, and the last stops where the budget ends:
-   within a block, documents are taken in the order of a hash as long as they fit.
+   within a block, documents that the room left can hold are taken in the order of a hash until one does not fit.
 
 Sums run over documents only before blocks; permutations are windows over the blocks of a source, document order is a window within one block.
 So the hot source costs blocks, not rows, in a task.
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskpanel.llm.common import unused
 from riskpanel.session import materialize
 
 POINTS = 15  # exponents per step
@@ -133,8 +134,9 @@ def plan(docs: DataFrame, params: MixParams = MixParams()) -> tuple[DataFrame, D
     dealt = materialize(blocks(rows, shares, params), "mix_blocks")
     drawn = rows.join(shares.select("source", "n_blocks"), "source").withColumn("block", block_of(params)).drop("n_blocks").join(dealt, ["source", "block"])
     whole = drawn.where("room IS NULL").drop("room")
-    inside = Window.partitionBy("source", "block", "epoch").orderBy(hash60(F.lit(params.key), F.col("epoch"), F.col("doc_id"), F.col("n_tokens")), "doc_id", "n_tokens")
-    upto = F.sum(F.col("n_tokens") * F.col("n_rows")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    size = F.col("n_tokens") * F.col("n_rows")
+    inside = Window.partitionBy("source", "block", "epoch").orderBy(size > F.col("room"), hash60(F.lit(params.key), F.col("epoch"), F.col("doc_id"), F.col("n_tokens")), "doc_id", "n_tokens")
+    upto = F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     cut = drawn.where("room IS NOT NULL").withColumn("upto", upto).where("upto <= room").drop("room", "upto")
     return whole.unionByName(cut), shares
 
@@ -142,11 +144,12 @@ def plan(docs: DataFrame, params: MixParams = MixParams()) -> tuple[DataFrame, D
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The rows of ``docs`` as often as they are drawn, with their columns: a stage of a pipeline."""
     draws, _ = plan(docs, params)
-    copies = draws.groupBy("source", "doc_id", "n_tokens").agg(F.count("*").cast("int").alias("_copies")).select(
-        F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("n_tokens").alias("_n"), "_copies")
-    on = (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("_source")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (
-        n_tokens(docs["text"]) == F.col("_n"))
-    return docs.join(copies, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    source, own_id, n, times, copy = (unused(c, docs) for c in ("_source", "_id", "_n", "_copies", "_copy"))
+    copies = draws.groupBy("source", "doc_id", "n_tokens").agg(F.count("*").cast("int").alias(times)).select(
+        F.col("source").alias(source), F.col("doc_id").alias(own_id), F.col("n_tokens").alias(n), times)
+    on = (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(source)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (
+        n_tokens(docs["text"]) == F.col(n))
+    return docs.join(copies, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -190,7 +193,7 @@ t AS (SELECT *, row_number() OVER o AS turn, sum(size) OVER o - size AS before F
       ORDER BY {h.format(f"'{key}|' || source || '|' || epoch || '|' || block")}, block ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, CASE WHEN epoch = whole AND rest - before < size THEN rest - before END AS room FROM t),
 g AS (SELECT d.source, d.weight, d.doc_id, d.n_tokens, d.n_rows, f.epoch, d.block, f.turn, f.room, sum(d.n_tokens * d.n_rows) OVER (
-      PARTITION BY d.source, d.block, f.epoch ORDER BY {h.format(f"'{key}|' || f.epoch || '|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || d.n_tokens")},
+      PARTITION BY d.source, d.block, f.epoch ORDER BY coalesce(d.n_tokens * d.n_rows > f.room, false), {h.format(f"'{key}|' || f.epoch || '|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || d.n_tokens")},
       d.doc_id, d.n_tokens ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN f ON d.source = f.source AND d.block = f.block WHERE f.room IS NULL OR f.room > 0)
 SELECT source, round(weight, 9) AS weight, doc_id, n_tokens, n_rows, epoch, block, turn FROM g WHERE room IS NULL OR upto <= room

@@ -4,14 +4,15 @@ Every query meets every candidate, in blocks, once per round. A round counts eac
 interval; the summed histogram shows in which bin the k-th best score lies, and that bin is the next interval. When bins are one
 wide the k-th value is known, and a last pass keeps what lies above it and, of the ties, those with the smallest ids.
 
-Components become ``floor(256 * x)`` and scores are their integer inner products, computed exactly: in floating point below 2^53, else in 64-bit integers.
+Components become ``floor(256 * x)`` and scores are their integer inner products, computed exactly: in floating point below 2^53, in 64-bit integers
+below 2^60, else in integers of any length.
 
 Queries are taken in blocks of at most ``block`` vectors, so what is sent to the executors at a time has a fixed size; candidates are
 never moved. A task reports per query only its highest bins that together hold as many scores as are still sought: lower ones
 cannot hold the k-th value.
 
-Defined cases: vectors that are NULL or hold NULL or non-finite components, and rows without an id take no part, nor do vectors whose
-squared length in these integers reaches 2^61, as no long could hold their scores; vectors of different lengths are not compared; a query with fewer than k candidates gets all; a query row repeated with the
+Defined cases: vectors that are NULL or hold NULL or non-finite components (also after the factor 256), and rows without an id take no part; a score among
+the k best that no long can hold stops the search with an error; vectors of different lengths are not compared; a query with fewer than k candidates gets all; a query row repeated with the
 same vector counts once; a repeated candidate row is a candidate each time; a candidate with the query's id is the query's own.
 """
 
@@ -25,19 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 2.0**61
 BINS = 512
 PART = 512  # candidates scored at a time
 
 
-def squared_length(vector: Column) -> Column:
-    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.pow(F.floor(F.lit(256.0) * x).cast("double"), F.lit(2.0)))
+def usable(vector: Column) -> Column:
+    """Whether all components are finite."""
+    return F.coalesce(F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**1015)), F.lit(False))
 
 
-def usable(vector: Column) -> Column:
-    """Whether all components are finite and the scores fit a long."""
-    sound = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 2.0**40)), F.lit(False))
-    return F.when(vector.isNotNull() & sound, squared_length(vector.cast("array<double>")) < LIMIT).otherwise(False)
+def whole_numbers(x: np.ndarray, kind: type) -> np.ndarray:
+    """``floor(256 * x)`` as numbers of the kind that scores are computed in."""
+    floors = np.floor(256.0 * x)
+    return np.frompyfunc(int, 1, 1)(floors).astype(object) if kind is object else floors.astype(kind)
 
 
 @dataclass
@@ -57,13 +58,13 @@ def scored(batches: Iterator[pa.RecordBatch], blocks: dict[int, QueryBlock]) ->
     for batch in batches:
         ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
         lengths = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
-        flat = np.floor(256.0 * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         starts = np.concatenate([[0], np.cumsum(lengths)])
         for dim, block in blocks.items():
             rows = np.flatnonzero(lengths == dim)
             for at in range(0, len(rows), PART):
                 part = rows[at:at + PART]
-                matrix = flat[starts[part][:, None] + np.arange(dim)[None, :]].astype(block.matrix.dtype)
+                matrix = whole_numbers(flat[starts[part][:, None] + np.arange(dim)[None, :]], block.matrix.dtype.type if block.matrix.dtype != object else object)
                 yield block, ids[part], block.matrix @ matrix.T, block.ids[:, None] != ids[part][None, :]
 
 
@@ -75,7 +76,7 @@ def histograms(candidates: DataFrame, blocks: dict[int, QueryBlock], width: int)
         counts = {d: np.zeros((len(b.ids), BINS), np.int64) for d, b in shared.value.items()}
         for block, _, s, other in scored(batches, shared.value):
             bins = (s - block.low[:, None]) // width
-            hit = other & (bins >= 0) & (bins < BINS)
+            hit = other & (bins >= 0).astype(bool) & (bins < BINS).astype(bool)
             row = np.broadcast_to(np.arange(len(block.ids))[:, None], s.shape)[hit]
             total = counts[block.matrix.shape[1]]
             total += np.bincount(row * BINS + bins[hit].astype(np.int64), minlength=total.size).reshape(total.shape)
@@ -104,10 +105,10 @@ def best(candidates: DataFrame, blocks: dict[int, QueryBlock], k: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ties: dict[int, dict[int, np.ndarray]] = {d: {} for d in shared.value}
         for block, ids, s, other in scored(batches, shared.value):
-            q, c = np.nonzero(other & (s > block.low[:, None]))
+            q, c = np.nonzero(other & (s > block.low[:, None]).astype(bool))
             yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(block.number[q]), pa.array(ids[c]), pa.array(s[q, c].astype(np.int64))],
                                              ["query_id", "q", "vec_id", "score"])
-            q, c = np.nonzero(other & (s == block.low[:, None]))
+            q, c = np.nonzero(other & (s == block.low[:, None]).astype(bool))
             order = np.lexsort((ids[c], q))
             kept = ties[block.matrix.shape[1]]
             cuts = np.flatnonzero(np.diff(q[order])) + 1
@@ -139,8 +140,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 8192,
     rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
     candidates = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     chosen = rows.where(is_query).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).distinct()
-    bound = int(candidates.agg(F.max(squared_length(F.col("v")))).first()[0] or 0)  # no score is larger
-    kind = np.float64 if bound < 2**53 else np.int64
+    head = candidates.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
+    bound = (int(256 * (head[0] or 0.0)) + 1) ** 2 * (head[1] or 0)  # no score is larger
+    kind = np.float64 if bound < 2**53 else np.int64 if bound < 2**60 else object
     n_blocks = max(1, -(-chosen.count() // block))
     widths = [1]
     while widths[-1] * BINS < 2 * bound + 1:
@@ -154,7 +156,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 8192,
             by_dim.setdefault(len(v), []).append(i)
         blocks = {
             d: QueryBlock(np.array(i, np.int64), np.array([own[x][0] for x in i], np.int64),
-                          np.floor(256.0 * np.array([own[x][1] for x in i], np.float64).reshape(len(i), d)).astype(kind),
+                          whole_numbers(np.array([own[x][1] for x in i], np.float64).reshape(len(i), d), kind),
                           np.full(len(i), -bound, kind), np.full(len(i), k))
             for d, i in by_dim.items()
         }

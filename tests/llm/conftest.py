@@ -32,7 +32,7 @@ AWKWARD = [
     (13, "word", "en", "a", 4),
 ]
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["kept", "n_words", "score", "slot", "shard", "component_id", "th", "cuts", "block", "_text"]
+CLASHING = ["kept", "n_words", "score", "slot", "shard", "component_id", "th", "cuts", "block", "_id", "_th", "_cuts", "_text", "_n", "_source", "_copies", "_copy", "gone_id"]
 
 
 @pytest.fixture(scope="session")
@@ -44,7 +44,7 @@ def awkward(spark):
 def clashing(awkward):
     from pyspark.sql import functions as F
 
-    return awkward.withColumns({c: F.lit(f"extra {c}") for c in CLASHING if c != "_text"})
+    return awkward.withColumns({c: F.lit(f"extra {c}") for c in CLASHING})
 
 
 @pytest.fixture(scope="session")

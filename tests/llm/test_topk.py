@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskpanel.llm import queries, topk
@@ -34,7 +35,17 @@ def test_scores_beyond_floating_point(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in np.float32(rng.integers(-2**20, 2**20, 3))]) for i in range(60)] + [(70, [3.0e30] * 3), (71, [2.0**21, 1.0, 2.0**21])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
-    assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect())) == brute([r for r in rows if r[0] != 70], 5)
+    with pytest.raises(Exception, match="too large|Overflow"):  # a score among the best that no long can hold
+        topk.search(df, F.col("vec_id") % 50 == 0).collect()
+    small = [r for r in rows if r[0] != 70]
+    assert sorted(map(tuple, topk.search(df.where("vec_id <> 70"), F.col("vec_id") % 50 == 0).collect())) == brute(small, 5)
+
+
+def test_long_vectors_whose_scores_fit(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 6e6]), (2, [1.0, 1.3e7]), (3, [2.0**41, 0.0]), (4, [1.0, 0.0]), (5, [-(2.0**40), 3e30])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect()))
+    assert got == brute(rows, 5) and len(got) == 5 and got[0][3] == 2**57
 
 
 def test_fewer_candidates_than_k_and_empty(spark):
