@@ -29,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskpanel.llm.common import unused
+
 # Understood alike by the regular expressions of Java and of RE2: no look-around, ASCII classes only.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
 PHONE = r"(?:[+]1[ .-]?)?(?:[(][0-9]{3}[)][ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
@@ -192,19 +194,21 @@ def found(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: F.struct(m.alias("m"), kind(m).alias("kind")))
 
 
-def marked(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """``docs`` with ``_found``, the candidates (NULL if there can be none), and ``_text``."""
-    out = docs.withColumn("_found", F.when(F.col("text").rlike("[0-9@]"), found(F.col("text"))))
+def marked(docs: DataFrame, params: PiiParams = PiiParams()) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more, and their names, which no other column has: the candidates (NULL if there can be none) and the text as replaced."""
+    hits, new = unused("_found", docs), unused("_text", docs)
+    out = docs.withColumn(hits, F.when(F.col("text").rlike("[0-9@]"), found(F.col("text"))))
     between = F.split("text", CANDIDATE, -1)
-    words = F.transform("_found", lambda s: F.when(s["kind"].isNull(), s["m"]).otherwise(pseudonym(s["m"], s["kind"], params.key)))
+    words = F.transform(hits, lambda s: F.when(s["kind"].isNull(), s["m"]).otherwise(pseudonym(s["m"], s["kind"], params.key)))
     woven = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(words, lambda w, i: F.concat(w, F.get(between, i + 1))), ""))
-    some = F.exists("_found", lambda s: s["kind"].isNotNull())
-    return out.withColumn("_text", F.when(F.coalesce(some, F.lit(False)), woven).otherwise(F.col("text")))
+    some = F.exists(hits, lambda s: s["kind"].isNotNull())
+    return out.withColumn(new, F.when(F.coalesce(some, F.lit(False)), woven).otherwise(F.col("text"))), hits, new
 
 
 def pseudonymize(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced."""
-    return marked(docs, params).withColumn("text", F.col("_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out, _, new = marked(docs, params)
+    return out.withColumn("text", F.col(new)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 KINDS = ("card", "date", "email", "ip", "phone", "ssn")
@@ -212,7 +216,7 @@ KINDS = ("card", "date", "email", "ip", "phone", "ssn")
 
 def report(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """``doc_id``, the number of values replaced by kind, ``text``: one row per row of ``docs``."""
-    out = marked(docs.select("doc_id", "text"), params)
+    out, _, _ = marked(docs.select("doc_id", "text"), params)
     count = lambda k: F.coalesce(F.size(F.filter("_found", lambda s: s["kind"] == k)), F.lit(0))
     counts = [F.when(F.col("_found").isNull(), 0).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.col("_text").alias("text"))

@@ -157,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     )
     rows = (
         docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")  # bounded by max_labelled
+        .groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text of an id that repeats, so the bound holds
         .select("doc_id", "text", "quality", (F.pmod(order, F.lit(params.calibration_share)) == 0).alias("held"))
         .repartition(1)
     )

@@ -42,6 +42,7 @@ def test_divisors_and_windows_match_sql(spark, same_as_sql, tmp_path):
 
 def test_stage_keeps_rows_and_columns(spark, clashing, empty):
     out = lines.dedup(clashing)
+    assert not [c for c in clashing.columns[5:] if out.where(f"`{c}` IS DISTINCT FROM 'extra {c}'").count()]
     assert out.columns == clashing.columns and out.count() == clashing.count()
     assert lines.dedup(empty).count() == 0 and lines.report(empty).count() == 0
     assert {r.doc_id: r.n_chars for r in out.collect()}[7] == len({r.doc_id: r.text for r in out.collect()}[7])

@@ -55,6 +55,7 @@ def test_hot_repeated_row_is_one_unit(spark):
 
 def test_stage(spark, clashing, empty):
     out = X.mix(clashing)
+    assert not [c for c in clashing.columns[5:] if out.where(f"`{c}` IS DISTINCT FROM 'extra {c}'").count()]
     drawn = X.report(clashing).collect()
     assert out.columns == clashing.columns and out.count() == sum(r.n_rows for r in drawn)
     assert X.mix(empty).count() == 0 and X.report(empty).count() == 0

@@ -62,3 +62,13 @@ def test_awkward_rows(spark, awkward, clashing, empty):
     kept = Q.keep(clashing, labels)
     assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
     assert Q.quality(empty, labels).count() == 0 and Q.keep(awkward, labels.limit(0)).count() == sum(not r.base_failed for r in rows)
+
+
+def test_an_id_with_very_many_texts_counts_once(spark):
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "concat('text ', id) AS text").unionAll(spark.range(50).selectExpr("id + 100 AS doc_id", "concat('other ', id) AS text"))
+    labels = spark.range(150).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    plain = Q.fit(docs.where("doc_id <> 7 OR text = 'text 1'"), labels)
+    first = docs.where("doc_id = 7").selectExpr("min_by(text, xxhash64(text)) AS text").first()["text"]
+    again = Q.fit(docs.where("doc_id <> 7").unionAll(docs.where(f"doc_id = 7 AND text = '{first}'")), labels)
+    whole = Q.fit(docs, labels)
+    assert (whole.weights == again.weights).all() and whole.bias == again.bias and plain.weights.shape == whole.weights.shape
