@@ -131,13 +131,23 @@ p AS (SELECT var, count(*) FILTER (WHERE value IS NULL) AS n_missing,
   avg(CASE WHEN value IS NULL THEN 1e0 ELSE 0e0 END) AS share_missing, min(value) AS min_value, max(value) AS max_value
   FROM l GROUP BY 1),
 g AS (SELECT ymd - lag(ymd) OVER (PARTITION BY state ORDER BY ymd) AS gap FROM panel),
+e AS (SELECT deaths_weekly = lead(deaths_now_weekly, 3) OVER (PARTITION BY state ORDER BY ymd) AS agree FROM panel),
+m AS (SELECT state, icu_weekly AS x, row_number() OVER w - 1 AS r, CASE WHEN count(*) OVER f = 7 THEN avg(icu_weekly) OVER f END AS rolled FROM panel
+  WINDOW w AS (PARTITION BY state ORDER BY ymd), f AS (PARTITION BY state ORDER BY ymd ROWS 6 PRECEDING)),
+b AS (SELECT count(*) AS n, avg(x) AS plain, max(CASE WHEN r % 7 = 6 THEN rolled END) AS rolled FROM m GROUP BY state, r // 7),
 u AS (SELECT 'duplicate_keys' AS "check", 'panel' AS subject, CAST(count(*) AS DOUBLE) AS value
     FROM (SELECT 1 FROM panel GROUP BY state, ymd HAVING count(*) > 1)
   UNION ALL SELECT 'completeness', 'n_areas', count(*) FROM a UNION ALL SELECT 'completeness', 'min_rows', min(n) FROM a
   UNION ALL SELECT 'completeness', 'max_rows', max(n) FROM a
   UNION ALL SELECT 'profile_n_missing', var, n_missing FROM p UNION ALL SELECT 'profile_share_missing', var, share_missing FROM p
   UNION ALL SELECT 'profile_min_value', var, min_value FROM p UNION ALL SELECT 'profile_max_value', var, max_value FROM p
-  UNION ALL SELECT 'days_between_rows', CAST(gap AS VARCHAR), count(*) FROM g WHERE gap IS NOT NULL GROUP BY 2)
+  UNION ALL SELECT 'days_between_rows', CAST(gap AS VARCHAR), count(*) FROM g WHERE gap IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'lag_n_compared', 'deaths_weekly', count(agree) FROM e UNION ALL SELECT 'lag_n_equal', 'deaths_weekly', count(*) FILTER (WHERE agree) FROM e
+  UNION ALL SELECT 'rolling_n_blocks', 'icu_weekly', count(*) FROM b WHERE n = 7
+  UNION ALL SELECT 'rolling_n_equal', 'icu_weekly', count(*) FILTER (WHERE abs(plain - rolled) < 1e-9) FROM b WHERE n = 7)
 SELECT "check", subject, round(value, 6) AS value FROM u""")
 def dq_report(spark, sf_dir):
-    return X.rounded(Q.dq_report(X.panel(spark, sf_dir, "member"), _MEASURES))
+    """All checks of the member panel as rows; the profile was counted while the panel was written."""
+    return X.rounded(Q.dq_report(
+        X.panel(spark, sf_dir, "member"), X.WATCHED, seen=X.panel_counts(spark, sf_dir, "member"),
+        leads={"deaths_weekly": ("deaths_now_weekly", 3)}, means={"icu_weekly": 7}))

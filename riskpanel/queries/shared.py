@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from riskpanel.operators.quality import watched
 from riskpanel.operators.rules import Grid
 from riskpanel.plans.weekly import label_weekly
 from riskpanel.session import materialize
@@ -26,6 +27,8 @@ TRAIN_QUARTERS = ["2000 1", "2000 2", "2000 3", "2000 4"]
 TEST_QUARTERS = ["2001 1", "2001 2"]
 
 _stored: dict[tuple[str, ...], DataFrame] = {}
+_seen: dict[tuple[str, ...], Observation] = {}
+WATCHED = ("cases_weekly", "admits_weekly", "icu_weekly", "perc_covid_100", "deaths_weekly")
 
 
 def stored(spark: SparkSession, *key: str, build) -> DataFrame:
@@ -37,11 +40,19 @@ def stored(spark: SparkSession, *key: str, build) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str, level: str = "state") -> DataFrame:
-    """The labelled weekly panel of one geography."""
-    return stored(
-        spark, f"panel_{level}", sf_dir,
-        build=lambda: label_weekly(weekly_facts(spark, sf_dir, level), **LEVEL_CUTS),
-    )
+    """The labelled weekly panel of one geography. Its rows, NULLs and ranges are counted while it is written."""
+    def build() -> DataFrame:
+        rows, seen = watched(label_weekly(weekly_facts(spark, sf_dir, level), **LEVEL_CUTS), WATCHED)
+        _seen[spark.sparkContext.applicationId, level, sf_dir] = seen
+        return rows
+
+    return stored(spark, f"panel_{level}", sf_dir, build=build)
+
+
+def panel_counts(spark: SparkSession, sf_dir: str, level: str = "state") -> dict:
+    """What was counted while the panel was written."""
+    panel(spark, sf_dir, level)
+    return _seen[spark.sparkContext.applicationId, level, sf_dir].get
 
 
 def rnd(c: Column | str, digits: int = 6) -> Column:
