@@ -29,6 +29,13 @@ PREFERENCES = {
     "Don't cry wolf (0.5x FN)": 0.5,
     "Better safe than sorry (0.5x FP)": 2.0,
 }
+# Display names of the specifications whose own names do not list their covariates.
+SPEC_NAMES = {
+    "Adaptive": "Adaptive: HZ",
+    "Adaptive.2": "Adaptive: HZD",
+    "Simplified adaptive": "Simplified adaptive: HZ",
+    "Simplified adaptive.2": "Simplified adaptive: HZD",
+}
 RULE_NAMES = {"cdc_flag": "Community level", "current_zeke": "Z"}
 DEATH_BANDS = ["<1 death/100K/week", "1-2 deaths/100K/week", ">2 deaths/100K/week"]
 INDICATOR_NAMES = {

@@ -171,10 +171,19 @@ def weekly_sample_dow(spark, sf_dir):
   count(DISTINCT CAST(o_orderdate AS DATE)) AS days, count(DISTINCT o_orderpriority) AS priorities
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def distinct_values(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.groupBy(F.col("c_nationkey").alias("state")).agg(
-        F.countDistinct("o_custkey").alias("customers"), F.countDistinct(F.col("o_orderdate").cast("date")).alias("days"),
-        F.countDistinct("o_orderpriority").alias("priorities"))
+    """Distinct customers, days and priorities per state without expanding a row per counted column.
+
+    A customer is one row from before the join on, with its (day, priority) pairs, which the calendar bounds; after the join its first pair counts the
+    customer, and rows are summed by state and day, then by state.
+    """
+    pair = F.struct(F.col("o_orderdate").cast("date").alias("ymd"), F.col("o_orderpriority").alias("priority"))
+    by_customer = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(pair).alias("pairs"))
+    states = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("state"))
+    pairs = by_customer.join(states, F.col("o_custkey") == F.col("c_custkey")).select("state", F.posexplode("pairs").alias("i", "p"))
+    days = pairs.groupBy("state", "p.ymd").agg(F.count_if(F.col("i") == 0).alias("n"), F.collect_set("p.priority").alias("priorities"))
+    return days.groupBy("state").agg(
+        F.sum("n").alias("customers"), F.count("ymd").alias("days"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("priorities")))).cast("long").alias("priorities"))
 
 
 # Reporting units of the test geography: several nations -> one unit, one of them its representative.

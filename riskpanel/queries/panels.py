@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.labels import code_number
 from riskpanel.operators.joins import snapshot
+from riskpanel.operators.reshape import stack
 from riskpanel.plans import area_panels as AP
 from riskpanel.plans.daily import CleaningRules
 from riskpanel.plans.state_panel import clean_state_panel, statewide_patch
 from riskpanel.queries import query
 from riskpanel.queries import shared as X
+from riskpanel.session import scratch_path
 from riskpanel.sources import commerce_raw as W
+from riskpanel.sources import schemas as SC
+from riskpanel.sources import tables as IO
 
 RULES = CleaningRules(filter_date="1999-01-01", weekly_start="1999-03-01", per=100.0, **X.LEVEL_CUTS)
 STATE_RULES = CleaningRules(filter_date="1999-01-01", weekly_start=None, per=100.0, **X.LEVEL_CUTS)
@@ -143,7 +147,7 @@ h AS (SELECT hsa, wed, admits_confirmed_avg, icu_confirmed_avg, covid / 7e0 / nu
   admits_confirmed_avg / pop * 100 AS a100, icu_confirmed_avg / pop * 100 / 7 AS icu_100K FROM hs)"""
 
 
-@query("panel_group", f"""WITH {_BASE}, {_HSA_WEEKS},
+GROUP_SQL = f"""WITH {_BASE}, {_HSA_WEEKS},
 o AS (SELECT hsa, day, sum(n) AS n, sum(n_f) AS n_f FROM od WHERE fips <> {W.UNKNOWN_COUNTY} GROUP BY 1, 2),
 d AS (SELECT p.hsa AS area, days.day AS ymd, pop, coalesce(n, 0) * 1e0 / pop * 100 AS cases_avg_per_100k,
   coalesce(n_f, 0) * 1e0 / pop * 100 AS deaths_avg_per_100k, admits_confirmed_avg, icu_confirmed_avg,
@@ -154,7 +158,10 @@ d AS (SELECT p.hsa AS area, days.day AS ymd, pop, coalesce(n, 0) * 1e0 / pop * 1
 r AS (SELECT DISTINCT pop AS rp, rank() OVER (ORDER BY pop DESC) + (count(*) OVER (PARTITION BY pop) - 1) / 2e0 AS county_rank
   FROM d WHERE ymd >= DATE '1999-01-01'),
 {_weekly_sql('1999-03-01', 7)}
-SELECT {_SELECT}, county_rank FROM p JOIN r ON pop = rp""")
+SELECT {_SELECT}, county_rank FROM p JOIN r ON pop = rp"""
+
+
+@query("panel_group", GROUP_SQL)
 def panel_group(spark, sf_dir):
     panel = AP.clean_group_panel(
         raw(spark, sf_dir, "hospital_weeks"), raw(spark, sf_dir, "county_cases"), areas(spark, sf_dir), RULES, W.UNITS,
@@ -183,3 +190,69 @@ def panel_member(spark, sf_dir):
         raw(spark, sf_dir, "hospital_weeks"), raw(spark, sf_dir, "county_cases"), areas(spark, sf_dir), raw(spark, sf_dir, "county_census"),
         RULES, W.UNITS, excluded=["NATION_23"], without_group=[4010, 4020])
     return _out(panel, "county_rank")
+
+
+# Raw files with the schema each is declared with, and the correction reports in them that hold a text where a number belongs: in which rows, in which column.
+_FILES = {
+    "hospital_weeks": (SC.HOSPITAL_WEEKLY, "endswith(collection_week, '/01')", "inpatient_beds_7_day_avg"),
+    "county_cases": (SC.COUNTY_CASES, "endswith(date, '-01-01')", "cases_avg"),
+    "service_areas": (SC.SERVICE_AREAS, "false", "county_population"),
+}
+_DATED = {"hospital_weeks": "collection_week", "county_cases": "date"}
+
+
+def ingested(spark, sf_dir, name):
+    """Path of a raw table that went out as CSV, one folder per year, broken correction reports included, and was read in through its declared schema."""
+    schema, broken, column = _FILES[name]
+
+    def write(path):
+        rows = raw(spark, sf_dir, name)
+        text = rows.select(*[F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in schema.names])
+        lines = text.unionByName(text.where(broken).withColumn(column, F.lit("pending")))
+        files = scratch_path(spark, f"csv_{name}")
+        if name in _DATED:
+            lines.withColumn("y", F.substring(_DATED[name], 1, 4)).write.partitionBy("y").option("header", True).csv(files)
+        else:
+            IO.write_csv(lines, files)
+        IO.ingest_csv(spark, files, schema, path)
+
+    return X.stored_at(spark, f"ingested_{name}", sf_dir, write=write)
+
+
+def from_csv(spark, sf_dir, name):
+    return IO.read_ingested(spark, ingested(spark, sf_dir, name), _FILES[name][0])
+
+
+@query("panel_from_csv", GROUP_SQL)
+def panel_from_csv(spark, sf_dir):
+    """The group panel from raw CSV files of several years. Broken lines are set apart, so the panel equals the one from the tables."""
+    one = snapshot(from_csv(spark, sf_dir, "service_areas"), F.to_date("date_updated", "yyyy-MM-dd"), date(2022, 5, 6))
+    panel = AP.clean_group_panel(
+        from_csv(spark, sf_dir, "hospital_weeks"), from_csv(spark, sf_dir, "county_cases"),
+        one.withColumn("fips", code_number(F.col("county_fips"))), RULES, W.UNITS, excluded=["NATION_23"])
+    return _out(panel, "county_rank")
+
+
+@query("raw_quarantine", f"""WITH {_BASE},
+h AS (SELECT DISTINCT fips, day - CAST((dayofweek(day) + 2) % 7 AS INTEGER) AS d FROM li),
+c AS (SELECT code, day AS d FROM days CROSS JOIN (SELECT DISTINCT c_nationkey, CASE WHEN fips BETWEEN 1010 AND 1013 THEN {W.REPORTED_TOGETHER}
+  WHEN fips = {W.UNKNOWN_COUNTY} THEN 99999 ELSE fips END AS code FROM cty))
+SELECT 'hospital_weeks' AS source, CAST(year(d) AS VARCHAR) AS year, count(*) AS n_rows, count(*) FILTER (WHERE day(d) = 1) AS n_broken,
+  count(DISTINCT fips) FILTER (WHERE day(d) = 1) AS n_broken_areas FROM h GROUP BY ALL
+UNION ALL SELECT 'county_cases', CAST(year(d) AS VARCHAR), count(*), count(*) FILTER (WHERE day(d) = 1 AND month(d) = 1),
+  count(DISTINCT code) FILTER (WHERE day(d) = 1 AND month(d) = 1) FROM c GROUP BY ALL""")
+def raw_quarantine(spark, sf_dir):
+    """Rows that were read and lines that were set apart, by raw table and year. What a broken line says of its area and date is taken from its text."""
+    parts = []
+    for name, dated in _DATED.items():
+        path, schema = ingested(spark, sf_dir, name), _FILES[name][0]
+        area = "fips_code" if name == "hospital_weeks" else "geoid"
+        fields = F.split(IO.LINE, ",")
+        lines = IO.read_quarantine(spark, path, schema).select(
+            F.get(fields, F.lit(schema.names.index(dated))).alias("d"), F.get(fields, F.lit(schema.names.index(area))).alias("broken"))
+        good = IO.read_ingested(spark, path, schema).select(F.col(dated).alias("d"), F.lit(None).cast("string").alias("broken"))
+        both = good.unionByName(lines).groupBy(F.substring("d", 1, 4).alias("year"), "broken").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(both.groupBy(F.lit(name).alias("source"), "year").agg(
+            F.coalesce(F.sum(F.when(F.col("broken").isNull(), F.col("n"))), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("broken").isNotNull(), F.col("n"))), F.lit(0)).alias("n_broken"), F.count("broken").alias("n_broken_areas")))
+    return stack(parts)

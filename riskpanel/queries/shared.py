@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from riskpanel.functions.labels import SPEC_NAMES
 from riskpanel.operators.quality import watched
 from riskpanel.operators.rules import Grid
 from riskpanel.plans.weekly import label_weekly
-from riskpanel.session import materialize
+from riskpanel.session import materialize, scratch_path
 from riskpanel.sources.commerce import weekly_facts
 
 # Study design on the test tables.
@@ -27,6 +28,7 @@ TRAIN_QUARTERS = ["2000 1", "2000 2", "2000 3", "2000 4"]
 TEST_QUARTERS = ["2001 1", "2001 2"]
 
 _stored: dict[tuple[str, ...], DataFrame] = {}
+_paths: dict[tuple[str, ...], str] = {}
 _seen: dict[tuple[str, ...], Observation] = {}
 WATCHED = ("cases_weekly", "admits_weekly", "icu_weekly", "perc_covid_100", "deaths_weekly")
 
@@ -39,6 +41,16 @@ def stored(spark: SparkSession, *key: str, build) -> DataFrame:
     return _stored[full]
 
 
+def stored_at(spark: SparkSession, *key: str, write) -> str:
+    """The path of a dataset that ``write(path)`` fills once per application."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _paths:
+        path = scratch_path(spark, key[0])
+        write(path)
+        _paths[full] = path
+    return _paths[full]
+
+
 def panel(spark: SparkSession, sf_dir: str, level: str = "state") -> DataFrame:
     """The labelled weekly panel of one geography. Its rows, NULLs and ranges are counted while it is written."""
     def build() -> DataFrame:
@@ -185,6 +197,11 @@ LAB2_SQL = (
     "WHEN 'icu_2_time_3' THEN '>2 ICU patients/100K/wk' WHEN 'perc_covid_10_time_3' "
     "THEN '>10% inpatient bed occupancy' END"
 )
+def spec_name_sql(c: str = "var") -> str:
+    """A specification's display name."""
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPEC_NAMES.items()) + f" ELSE {c} END"
+
+
 PREFS_SQL = (
     "prefs(lab, mult) AS (VALUES ('Neutral', 1e0), ('Don''t cry wolf (0.5x FN)', 0.5e0), "
     "('Better safe than sorry (0.5x FP)', 2e0))"

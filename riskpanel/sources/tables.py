@@ -15,6 +15,39 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
 
 
+LINE, FILE, BROKEN = "broken_line", "source_file", "is_broken"
+
+
+def ingest_csv(spark: SparkSession, source: str | Sequence[str], schema: T.StructType, path: str) -> None:
+    """Parses header CSV files once, into a parquet dataset at ``path`` that a second run replaces as a whole.
+
+    Lines that do not fit the declared schema (a text in place of a number, too few or too many fields) are kept apart, whole and with the name of
+    their file. A file with other column names is refused. All columns are parsed, so a line is judged by every field, whatever is read later.
+    """
+    paths = [source] if isinstance(source, str) else list(source)
+    declared = T.StructType([*schema.fields, T.StructField(LINE, T.StringType())])
+    options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": LINE}
+    rows = spark.read.schema(declared).options(**options).csv(paths).select(
+        *schema.names, LINE, F.col("_metadata.file_path").alias(FILE), F.col(LINE).isNotNull().alias(BROKEN))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BROKEN).parquet(path)
+
+
+def _ingested(spark: SparkSession, path: str, schema: T.StructType, broken: bool) -> DataFrame:
+    more = [T.StructField(LINE, T.StringType()), T.StructField(FILE, T.StringType()), T.StructField(BROKEN, T.BooleanType())]
+    rows = spark.read.schema(T.StructType([*schema.fields, *more])).parquet(path)
+    return rows.where(F.col(BROKEN) if broken else ~F.col(BROKEN))
+
+
+def read_ingested(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that fit the schema."""
+    return _ingested(spark, path, schema, False).select(*schema.names)
+
+
+def read_quarantine(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The lines that do not, with their files."""
+    return _ingested(spark, path, schema, True).select(FILE, LINE)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
@@ -39,8 +72,9 @@ def read_panel(spark: SparkSession, path: str, geography: str | None = None) ->
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:
-    """Puts scored rows into the prediction dataset, by specification and outcome."""
-    write_parts(scored, path, ["spec", "outcome_label"])
+    """Puts scored rows into the prediction dataset, by specification and outcome. Rows are brought together by folder first, in files of even size,
+    or each task would leave a file in every folder."""
+    write_parts(scored.hint("rebalance", "spec", "outcome_label"), path, ["spec", "outcome_label"])
 
 
 def write_results(df: DataFrame, path: str, parts: Sequence[str]) -> None:

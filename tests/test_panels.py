@@ -26,6 +26,30 @@ def test_patch_from_a_file_with_byte_order_mark(spark, tmp_path):
     assert patch.where("ymd = DATE '2021-12-05'").first().Statewide == pytest.approx(1.5)
 
 
+def test_lines_that_do_not_fit_are_set_apart(spark, tmp_path):
+    """A text in a number, a short and a long line are kept whole; the same target filled again holds only the new run."""
+    head = ",".join(SC.STATE_CASES.names)
+    files, target = tmp_path / "csv", str(tmp_path / "out")
+    files.mkdir()
+    (files / "a.csv").write_text(f"{head}\n2021-01-01,A,1.5,0.5\n2021-01-02,A,pending,0.5\n2021-01-03,A\n2021-01-04,A,,0.5\n")
+    (files / "b.csv").write_text(f"{head}\n2022-01-01,A,2.5,0.5\n2022-01-02,A,1,2,3\n")
+    IO.ingest_csv(spark, str(files), SC.STATE_CASES, target)
+    good = IO.read_ingested(spark, target, SC.STATE_CASES)
+    assert sorted((r.date, r.cases_avg_per_100k) for r in good.collect()) == [("2021-01-01", 1.5), ("2021-01-04", None), ("2022-01-01", 2.5)]
+    assert good.select("state").where("state = 'A'").count() == 3  # whatever is read, a line is judged by all fields
+    bad = IO.read_quarantine(spark, target, SC.STATE_CASES).collect()
+    assert sorted((r.source_file[-5:], r.broken_line) for r in bad) == [
+        ("a.csv", "2021-01-02,A,pending,0.5"), ("a.csv", "2021-01-03,A"), ("b.csv", "2022-01-02,A,1,2,3")]
+    IO.ingest_csv(spark, str(files / "b.csv"), SC.STATE_CASES, target)
+    assert IO.read_ingested(spark, target, SC.STATE_CASES).count() == 1 and IO.read_quarantine(spark, target, SC.STATE_CASES).count() == 1
+    (files / "b.csv").write_text(f"{head}\n")
+    IO.ingest_csv(spark, str(files / "b.csv"), SC.STATE_CASES, target)
+    assert IO.read_ingested(spark, target, SC.STATE_CASES).isEmpty() and IO.read_quarantine(spark, target, SC.STATE_CASES).isEmpty()
+    (files / "c.csv").write_text("day,state\n2021-01-01,A\n")
+    with pytest.raises(Exception, match="header"):
+        IO.ingest_csv(spark, str(files / "c.csv"), SC.STATE_CASES, target)
+
+
 def test_crosswalk_maps_fifteen_codes_to_five_units(spark):
     cw = AP.crosswalk(spark)
     assert cw.count() == 15 and cw.select("unit").distinct().count() == 5
