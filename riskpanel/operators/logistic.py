@@ -73,7 +73,7 @@ _MAX_ETA = 30.0
 BLOCK_ROWS = 4096
 TASK_ROWS = 16_384  # a row is met by dozens of fits, so a task takes few of them
 # A column whose remaining sum of squares falls below this share of its own is a combination of earlier ones.
-_ALIAS_TOL = 1e-13
+ALIAS_TOL = 1e-13
 
 
 def spec(name: str) -> Spec:
@@ -225,7 +225,7 @@ def solve_systems(gram: np.ndarray, rhs: np.ndarray, used: np.ndarray) -> tuple[
     kept = np.zeros((n, p), dtype=bool)
     for j in range(p):
         pivot = a[:, j, j].copy()
-        ok = used[:, j] & (pivot > _ALIAS_TOL)
+        ok = used[:, j] & (pivot > ALIAS_TOL)
         kept[:, j] = ok
         row = np.where(ok[:, None], a[:, j, :] / np.where(ok, pivot, 1.0)[:, None], 0.0)
         factor = a[:, :, j].copy()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.functions.dates import quarter_label
-from riskpanel.functions.labels import INDICATOR_NAMES, OUTCOME_NAMES, death_band, recode
+from riskpanel.functions.labels import INDICATOR_NAMES, OUTCOME_NAMES, SPEC_NAMES, death_band, recode
 from riskpanel.operators import logistic as L
 from riskpanel.operators import scoring as S
 from riskpanel.operators import synthetic as Y
@@ -38,6 +38,11 @@ def predicted_calendar(scored: DataFrame, mortality_spec: str, health_spec: str,
         L.predicted_class(F.col("pred"), mult).alias("value"), F.col("outcome_value").cast("boolean").alias("happened"))
 
 
+def with_spec_names(table: DataFrame, columns: Sequence[str] = ("var",)) -> DataFrame:
+    """A result table with specifications under their display names."""
+    return table.withColumns({c: recode(F.col(c), SPEC_NAMES) for c in columns})
+
+
 def indicator_bands(panel: DataFrame, study: Study) -> DataFrame:
     """Long frame of the indicators with the band of the later death rate."""
     d = F.col("ymd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskpanel.functions.labels import OUTCOME_NAMES
+from riskpanel.functions.labels import OUTCOME_NAMES, SPEC_NAMES, recode
 from riskpanel.operators import logistic as L
 from riskpanel.operators import rules as R
 from riskpanel.operators import scoring as S
@@ -111,7 +111,7 @@ m AS (SELECT *, max(regret) OVER (PARTITION BY lab, lab2, var, block) AS max_reg
 f AS (SELECT * REPLACE (CASE WHEN block LIKE '%MR' THEN max_regret ELSE value END AS value) FROM m
   WHERE block NOT LIKE '%MR' OR regret = max_regret),
 g AS (SELECT *, CASE WHEN block LIKE '%MR' THEN 100 - value ELSE value END AS good FROM f)
-SELECT lab, lab2, var, period, block, value, regret, max_regret, CASE WHEN block LIKE '%Test%' THEN
+SELECT lab, lab2, {X.spec_name_sql()} AS var, period, block, value, regret, max_regret, CASE WHEN block LIKE '%Test%' THEN
   round((good - avg(good) OVER w) / nullif(stddev_samp(good) OVER w, 0), 6) END AS fill
 FROM g WINDOW w AS (PARTITION BY lab2, block)"""
 
@@ -120,7 +120,7 @@ FROM g WINDOW w AS (PARTITION BY lab2, block)"""
 def max_regret(spark, sf_dir):
     rows = metric_rows(spark, sf_dir).where(F.col("outcome_label").isin(*P.MORTALITY))
     table = V.comparison_table(rows, QUARTERS, _OTHERS)
-    out = V.max_regret(table, X.TRAIN_QUARTERS, X.TEST_QUARTERS)
+    out = P.with_spec_names(V.max_regret(table, X.TRAIN_QUARTERS, X.TEST_QUARTERS))
     return X.rounded(out.select("lab", "lab2", "var", "period", "block", "value", "regret", "max_regret", "fill"))
 
 
@@ -128,15 +128,15 @@ def max_regret(spark, sf_dir):
 def max_regret_adaptive(spark, sf_dir):
     """The same comparison among all refitted models, for every outcome."""
     rows = metric_rows(spark, sf_dir, [x.name for x in L.SPECS])
-    out = V.max_regret(V.comparison_table(rows, QUARTERS, None), X.TRAIN_QUARTERS, X.TEST_QUARTERS)
+    out = P.with_spec_names(V.max_regret(V.comparison_table(rows, QUARTERS, None), X.TRAIN_QUARTERS, X.TEST_QUARTERS))
     return X.rounded(out.select("lab", "lab2", "var", "period", "block", "value", "regret", "max_regret", "fill"))
 
 
 @query("quarter_table", f"""{METRICS}, {_comparison_sql(R.DEFAULT_OUTCOMES, _KEEP)}
-SELECT lab, lab2, var, period, value, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS fill
-FROM kept WINDOW w AS (PARTITION BY lab, lab2)""")
+SELECT lab, lab2, {X.spec_name_sql()} AS var, period, value,
+  round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS fill FROM kept WINDOW w AS (PARTITION BY lab, lab2)""")
 def quarter_table(spark, sf_dir):
-    return X.rounded(V.comparison_table(metric_rows(spark, sf_dir), QUARTERS, _OTHERS))
+    return X.rounded(P.with_spec_names(V.comparison_table(metric_rows(spark, sf_dir), QUARTERS, _OTHERS)))
 
 
 _BASELINES = ("Community level", "Z")
@@ -151,18 +151,20 @@ def level_comparison(spark, sf_dir):
     return X.rounded(V.comparison_table(rows, QUARTERS, _BASELINES, group=["level"]))
 
 
-@query("time_trend_table", METRICS + """,
+@query("time_trend_table", METRICS + f""",
 k AS (SELECT * FROM t WHERE lab = 'Neutral' AND quarter NOT IN ('Test', 'Overall') AND var <> '0 6 0'),
 m AS (SELECT *, max(CASE WHEN quarter = 'Training' THEN score END) OVER (PARTITION BY outcome_label, var) AS training FROM k),
 n AS (SELECT *, max(CASE WHEN kind = 'adaptive' THEN training END) OVER (PARTITION BY outcome_label) AS max_training FROM m)
-SELECT lab2, outcome_label, quarter, var, kind AS rule_kind, training = max_training AS best_ind,
-  CASE WHEN training = max_training THEN 'Adaptive' ELSE var END AS line,
+SELECT lab2, outcome_label, quarter, {X.spec_name_sql()} AS var, kind AS rule_kind, training = max_training AS best_ind,
+  CASE WHEN training = max_training THEN 'Adaptive' ELSE {X.spec_name_sql()} END AS line,
   CASE WHEN kind = 'static' THEN split_part(var, ' ', 2) END AS h_level,
   round(CASE WHEN kind = 'static' AND score < 0 THEN 0 ELSE score END, 6) AS metric_value
 FROM n WHERE quarter <> 'Training' AND type = 'H'""")
 def time_trend_table(spark, sf_dir):
     rows = metric_rows(spark, sf_dir).where("type = 'H'")
-    return X.rounded(V.time_trend(rows, M.DEFAULT_NAMES, hidden=["0 6 0"]))
+    trend = V.time_trend(rows, M.DEFAULT_NAMES, hidden=["0 6 0"])
+    line = F.when(F.col("best_ind"), F.col("line")).otherwise(recode(F.col("line"), SPEC_NAMES))
+    return X.rounded(P.with_spec_names(trend.withColumn("line", line)))
 
 
 @query("pivot_periods", METRICS + """
@@ -248,29 +250,43 @@ def switch_counts(spark, sf_dir):
     return W.switch_totals(X.panel(spark, sf_dir, "member"), _FLAGS)
 
 
-_PREDICTED = """predicted AS MATERIALIZED (SELECT state, ymd, outcome_label, pred >= 0.5 AS value, y FROM scored WHERE
-  (outcome_label IN ('zeke_time_3', 'two_zeke_time_3') AND spec = 'Adaptive') OR
-  (outcome_label IN ('icu_2_time_3', 'perc_covid_10_time_3') AND spec = 'Adaptive: CHOD'))"""
-_PAIR = ("Adaptive", "Adaptive: CHOD")  # what predicts deaths, and what predicts beds
-_PAIR_SQL = M.scored_sql([L.spec(x) for x in _PAIR])
+# Per level: what predicts deaths, and what predicts beds.
+_PAIRS = {"state": ("Adaptive", "Adaptive: CHOD"), "member": ("Adaptive: CHOZ", "Adaptive: CHOD")}
 
 
-@query("switch_summary", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {_PAIR_SQL}, {_PREDICTED},
-a AS ({' UNION ALL '.join(_switch_sql(f"(SELECT * FROM predicted WHERE outcome_label = '{o}')", 'value', o) for o in R.DEFAULT_OUTCOMES)}),
-b AS ({' UNION ALL '.join(_switch_sql('panel', f, f) for f in _FLAGS)})
-SELECT coalesce(a.flag, b.flag) AS outcome_label, coalesce(a.var, b.var) AS var, a.tot AS tot_predicted, b.tot AS tot_true,
+def _predicted_sql(level: str) -> str:
+    """CTEs (with WITH) that end in ``predicted``."""
+    deaths, beds = _PAIRS[level]
+    return f"""WITH {X.panel_sql(level)}, {X.outcomes_sql()}, {M.scored_sql([L.spec(deaths), L.spec(beds)], None if level == 'state' else L.ALIAS_TOL)},
+predicted AS MATERIALIZED (SELECT state, ymd, outcome_label, pred >= 0.5 AS value, y FROM scored WHERE
+  (outcome_label IN ('zeke_time_3', 'two_zeke_time_3') AND spec = '{deaths}') OR
+  (outcome_label IN ('icu_2_time_3', 'perc_covid_10_time_3') AND spec = '{beds}'))"""
+
+
+def _summary_sql(level: str) -> str:
+    mine = " UNION ALL ".join(_switch_sql(f"(SELECT * FROM predicted WHERE outcome_label = '{o}')", "value", o) for o in R.DEFAULT_OUTCOMES)
+    return f"""SELECT * FROM ({_predicted_sql(level)}, a AS ({mine}), b AS ({' UNION ALL '.join(_switch_sql('panel', f, f) for f in _FLAGS)})
+SELECT '{LEVEL_NAMES[level]}' AS level, coalesce(a.flag, b.flag) AS outcome_label, coalesce(a.var, b.var) AS var, a.tot AS tot_predicted, b.tot AS tot_true,
   (SELECT tot FROM b c WHERE c.flag = 'cdc_flag' AND c.var = coalesce(a.var, b.var)) AS "CL"
-FROM a FULL JOIN b ON a.flag = b.flag AND a.var = b.var WHERE coalesce(a.flag, b.flag) <> 'cdc_flag'""")
+FROM a FULL JOIN b ON a.flag = b.flag AND a.var = b.var WHERE coalesce(a.flag, b.flag) <> 'cdc_flag')"""
+
+
+@query("switch_summary", " UNION ALL ".join(map(_summary_sql, _PAIRS)))
 def switch_summary(spark, sf_dir):
-    calendar = P.predicted_calendar(M.scored(spark, sf_dir), *_PAIR)
-    return W.switch_summary(calendar, X.panel(spark, sf_dir), R.DEFAULT_OUTCOMES)
+    """Switches of states and of counties, each from the stored predictions of its own pair of specifications."""
+    levels = []
+    for level, pair in _PAIRS.items():
+        calendar = P.predicted_calendar(M.predictions(spark, sf_dir, level), *pair)
+        rows = W.switch_summary(calendar, X.panel(spark, sf_dir, level), R.DEFAULT_OUTCOMES)
+        levels.append(rows.withColumn("level", F.lit(LEVEL_NAMES[level])))
+    return stack(levels)
 
 
-@query("prediction_calendar", f"""WITH {X.panel_sql()}, {X.outcomes_sql()}, {_PAIR_SQL}, {_PREDICTED}
+@query("prediction_calendar", f"""{_predicted_sql('state')}
 SELECT state, ymd, outcome_label, {X.LAB2_SQL} AS lab2, value, CAST(y AS BOOLEAN) AS happened FROM predicted""")
 def prediction_calendar(spark, sf_dir):
-    """Predicted class and actual outcome per area and week, deaths from one specification and beds from another."""
-    return P.predicted_calendar(M.scored(spark, sf_dir), *_PAIR)
+    """Predicted class and actual outcome per area and week, deaths from one specification and beds from another, out of the stored predictions."""
+    return P.predicted_calendar(M.predictions(spark, sf_dir), *_PAIRS["state"])
 
 
 _BANDS_SQL = f"""bands AS MATERIALIZED (SELECT state, ymd, POPESTIMATE2019, deaths_weekly,
