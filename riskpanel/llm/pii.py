@@ -16,7 +16,9 @@ date         y-m-d, y/m/d, d.m.y or d/m/y, two-digit d and m,         the 73,049
 email        local part, @, domain with a dot                         letters and digits of the local part, each among its like
 ============ ======================================================== =========================================================
 
-Runs of letters and digits are taken whole, so digits inside a longer token are not taken for a number. What is not valid stays.
+Runs of letters and digits are taken whole, so digits inside a longer token are not taken for a number. A run joined by dots, hyphens or
+slashes that is not valid as a whole is tried again in parts (an address before a path or a prefix length, both ends of a range, the day of a
+timestamp). What is not valid stays.
 
 Defined cases: NULL stays NULL and empty stays empty; rows with a NULL ``doc_id`` are treated like others; repeated rows get equal results.
 Each row is treated alone, nothing is shuffled. Only ``text`` is changed, and further columns are carried along by ``pseudonymize``.
@@ -38,6 +40,9 @@ SPACED_CARD = r"[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}"
 RUN = r"[A-Za-z_]*[0-9][0-9A-Za-z_]*(?:[./-][0-9A-Za-z_]+)*"
 CANDIDATE = f"{EMAIL}|(?:[+]1[ .-]?)?[(][0-9]{{3}}[)][ .-]?[0-9]{{3}}[ .-]{RUN}|[+]1[ .-][0-9]{{3}}[ .-][0-9]{{3}}[ .-]{RUN}|" \
             f"[0-9]{{3}} [0-9]{{3}}[ -]{RUN}|[0-9]{{4}} [0-9]{{4}} [0-9]{{4}} {RUN}|{RUN}"
+# Parts of a run that is not valid as a whole; every character lies in one of them.
+PART = r"[0-9]+-[0-9]+-[0-9]+T|[0-9]+(?:-[0-9]+)+[0-9A-Za-z_]*|[0-9]+(?:[.][0-9]+)+[0-9A-Za-z_]*|[0-9]+(?:/[0-9]+)+[0-9A-Za-z_]*|[0-9A-Za-z_]+|[^0-9A-Za-z_]"
+DAY_OF_TIME = r"^[0-9]+-[0-9]+-[0-9]+T$"
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^{OCTET}[.]{OCTET}[.]{OCTET}[.]{OCTET}$"
 CARD = rf"^(?:[0-9]{{13,19}}|{SPACED_CARD}|{SPACED_CARD.replace(' ', '-')})$"
@@ -189,9 +194,20 @@ def pseudonym(m: Column, k: Column, key: str) -> Column:
     )
 
 
+def parts(m: Column) -> Column:
+    """A candidate as pieces ``m``, ``kind``, ``tail`` (what follows the value in the piece), in order: itself, or its parts if it is not valid."""
+    def piece(p: Column) -> Column:
+        value = F.when(p.rlike(DAY_OF_TIME), F.substring_index(p, "T", 1)).otherwise(p)
+        return F.struct(value.alias("m"), kind(value).alias("kind"), F.when(p.rlike(DAY_OF_TIME), "T").otherwise("").alias("tail"))
+
+    whole = F.array(F.struct(m.alias("m"), kind(m).alias("kind"), F.lit("").alias("tail")))
+    return F.when(F.get(whole, F.lit(0))["kind"].isNotNull() | ~m.rlike("[./-]"), whole).otherwise(
+        F.transform(F.regexp_extract_all(m, F.lit(PART), F.lit(0)), piece))
+
+
 def found(text: Column) -> Column:
-    """The candidates of a text with their kinds, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: F.struct(m.alias("m"), kind(m).alias("kind")))
+    """The candidates of a text, each as its pieces, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), parts)
 
 
 def marked(docs: DataFrame, params: PiiParams = PiiParams()) -> tuple[DataFrame, str, str]:
@@ -199,9 +215,10 @@ def marked(docs: DataFrame, params: PiiParams = PiiParams()) -> tuple[DataFrame,
     hits, new = unused("_found", docs), unused("_text", docs)
     out = docs.withColumn(hits, F.when(F.col("text").rlike("[0-9@]"), found(F.col("text"))))
     between = F.split("text", CANDIDATE, -1)
-    words = F.transform(hits, lambda s: F.when(s["kind"].isNull(), s["m"]).otherwise(pseudonym(s["m"], s["kind"], params.key)))
+    word = lambda s: F.concat(F.when(s["kind"].isNull(), s["m"]).otherwise(pseudonym(s["m"], s["kind"], params.key)), s["tail"])
+    words = F.transform(hits, lambda pieces: F.array_join(F.transform(pieces, word), ""))
     woven = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(words, lambda w, i: F.concat(w, F.get(between, i + 1))), ""))
-    some = F.exists(hits, lambda s: s["kind"].isNotNull())
+    some = F.exists(hits, lambda pieces: F.exists(pieces, lambda s: s["kind"].isNotNull()))
     return out.withColumn(new, F.when(F.coalesce(some, F.lit(False)), woven).otherwise(F.col("text"))), hits, new
 
 
@@ -217,7 +234,7 @@ KINDS = ("card", "date", "email", "ip", "phone", "ssn")
 def report(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """``doc_id``, the number of values replaced by kind, ``text``: one row per row of ``docs``."""
     out, _, _ = marked(docs.select("doc_id", "text"), params)
-    count = lambda k: F.coalesce(F.size(F.filter("_found", lambda s: s["kind"] == k)), F.lit(0))
+    count = lambda k: F.coalesce(F.size(F.filter(F.flatten("_found"), lambda s: s["kind"] == k)), F.lit(0))
     counts = [F.when(F.col("_found").isNull(), 0).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.col("_text").alias("text"))
 
@@ -248,10 +265,12 @@ def report_sql(params: PiiParams = PiiParams()) -> str:
                        f"(SELECT *, {half} AS h, {hashed(chr(39) + 'email' + chr(39), i, other)} AS d FROM y{i}))")
     body = "substr(digits, 1, 1) || lpad(CAST(l AS VARCHAR), CAST(la AS INTEGER), '0') || lpad(CAST(r AS VARCHAR), CAST(lb AS INTEGER), '0')"
     ymd, dmy = f"regexp_matches(m, '{YMD}')", f"regexp_matches(m, '{DMY}')"
-    counts = ", ".join(f"CAST(len(list_filter(ms, lambda x: kinds[x] = '{k}')) AS BIGINT) AS n_{k}" for k in KINDS)
+    value = f"CASE WHEN regexp_matches(x, '{DAY_OF_TIME}') THEN substr(x, 1, length(x) - 1) ELSE x END"
+    counts = ", ".join(f"CAST(len(list_filter(vs, lambda x: kinds[x] = '{k}')) AS BIGINT) AS n_{k}" for k in KINDS)
     return f"""
 WITH d AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[0-9@]') THEN regexp_extract_all(text, '{CANDIDATE}') ELSE [] END AS ms FROM documents),
-c AS (SELECT DISTINCT unnest(ms) AS m FROM d),
+c0 AS (SELECT DISTINCT unnest(ms) AS m FROM d),
+c AS (SELECT m FROM c0 UNION SELECT {value} FROM (SELECT unnest(regexp_extract_all(m, '{PART}')) AS x FROM c0 WHERE regexp_matches(m, '[./-]'))),
 v AS (SELECT m, regexp_replace(m, '[ -]', '', 'g') AS digits,
       CASE WHEN {ymd} AND {g(YMD, 2)} = {g(YMD, 4)} THEN TRY_CAST({g(YMD, 1)} || '-' || {g(YMD, 3)} || '-' || {g(YMD, 5)} AS DATE)
            WHEN {dmy} AND {g(DMY, 2)} = {g(DMY, 4)} THEN TRY_CAST({g(DMY, 5)} || '-' || {g(DMY, 3)} || '-' || {g(DMY, 1)} AS DATE) END AS day FROM c),
@@ -288,8 +307,15 @@ p AS (SELECT m, kind, CASE kind
         ELSE replace(strftime(day, '%d-%m-%Y'), '-', substr(m, 3, 1)) END END AS word FROM w
   UNION ALL SELECT m, 'email', l || r || substr(m, length(l || r) + 1) FROM y{ROUNDS}
   UNION ALL SELECT m, '', m FROM k WHERE kind IS NULL),
-q AS (SELECT map(list(m), list(word)) AS words, map(list(m), list(kind)) AS kinds FROM p)
-SELECT doc_id, {counts}, CASE WHEN len(list_filter(ms, lambda x: kinds[x] <> '')) = 0 OR text IS NULL THEN text ELSE
+t AS (SELECT m, [m] AS vs, word FROM p WHERE kind <> '' OR NOT regexp_matches(m, '[./-]')
+  UNION ALL SELECT m, list(v ORDER BY i), string_agg(word || tail, '' ORDER BY i) FROM (
+    SELECT u.m, i, {value} AS v, p2.word, CASE WHEN regexp_matches(x, '{DAY_OF_TIME}') THEN 'T' ELSE '' END AS tail
+    FROM (SELECT c0.m, unnest(regexp_extract_all(c0.m, '{PART}')) AS x, generate_subscripts(regexp_extract_all(c0.m, '{PART}'), 1) AS i
+          FROM c0 JOIN p USING (m) WHERE p.kind = '' AND regexp_matches(c0.m, '[./-]')) u JOIN p p2 ON p2.m = {value}) GROUP BY m),
+q AS (SELECT map(list(m), list(kind)) AS kinds FROM p),
+r AS (SELECT map(list(m), list(word)) AS words, map(list(m), list(vs)) AS pieces FROM t),
+e AS (SELECT *, flatten(list_transform(ms, lambda x: pieces[x])) AS vs FROM d, q, r)
+SELECT doc_id, {counts}, CASE WHEN len(list_filter(vs, lambda x: kinds[x] <> '')) = 0 OR text IS NULL THEN text ELSE
   array_to_string(list_transform(range(1, 2 * len(ms) + 2), lambda i: CASE WHEN i % 2 = 0 THEN words[ms[i // 2]]
-    ELSE regexp_split_to_array(text, '{CANDIDATE}')[i // 2 + 1] END), '') END AS text FROM d, q
+    ELSE regexp_split_to_array(text, '{CANDIDATE}')[i // 2 + 1] END), '') END AS text FROM e
 """

@@ -52,6 +52,17 @@ def test_what_is_not_valid_stays(spark):
     assert changed(spark, *texts) == texts
 
 
+def test_values_inside_longer_runs(spark):
+    alone = dict(zip(("10.0.0.1", "10.0.0.9", "2020-01-01", "2020-02-01", "123-45-6789", "4111111111111111"), changed(
+        spark, "10.0.0.1", "10.0.0.9", "2020-01-01", "2020-02-01", "123-45-6789", "4111111111111111")))
+    texts = ["http://{10.0.0.1}/index", "{10.0.0.1}/24", "{2020-01-01}T10:00", "{2020-01-01}/{2020-02-01}", "{10.0.0.1}-{10.0.0.9}", "id/{123-45-6789}/x",
+             "{4111111111111111}.jpg"]
+    fill = lambda t, new: re.sub("{([^}]*)}", lambda m: new(m[1]), t)
+    assert changed(spark, *[fill(t, str) for t in texts]) == [fill(t, alone.get) for t in texts]
+    stay = ["2020-01-01abc", "x2020-01-01T10", "1.2.3.4.5/x", "2021-02-30/a", "550e8400-e29b-41d4-a716-446655440000"]
+    assert changed(spark, *stay) == stay
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     a, b = changed(spark, "call 722-555-6978 or 79.36.208.206.", "(722) 555-6978; 79.36.208.206")
     assert re.findall(r"\d+", a) == re.findall(r"\d+", b)
@@ -91,6 +102,7 @@ def test_documents(spark):
 
 def test_report_matches_sql(spark, awkward, same_as_sql):
     texts = ["4111111111111111 and 4111 1111 1111 1111 or 4111-1111-1111-1111", "+1 (722) 555-6978, 152.555.6978 x", "79.36.208.206", "123-45-6789 700-45-6789",
-             "1980-02-29 29.02.1980 31/12/1999 1980/02/29", "Jo.48+x@mail8.example.com a@b.co", "4111111111111112 1.2.3.4.5"]
+             "1980-02-29 29.02.1980 31/12/1999 1980/02/29", "Jo.48+x@mail8.example.com a@b.co", "4111111111111112 1.2.3.4.5",
+             "http://10.0.0.1/index 10.0.0.0/24 2020-01-01T10:00 2020-01-01/2020-02-01 10.0.0.1-10.0.0.9", "a/b-1.2/2021-02-30T1 31/12/1999/x"]
     rows = awkward.select("doc_id", "text").unionAll(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert same_as_sql(pii.report(rows), pii.report_sql(), documents=rows)
