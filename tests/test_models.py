@@ -174,6 +174,84 @@ def test_forest_short_cut_and_probabilities(panel):
     assert len(mixed) == 60 and (mixed.pred.isna() == mixed.admits_weekly.isna()).all()
 
 
+def _brute_tree(cells, k, m_of_node, depth):
+    """Splits {node: (feature, bin)} and leaf shares of one tree from its cells (bins..., w0, w1), by trying every cut."""
+    gini = lambda g: 2 * g[0] * g[1] / (g[0] + g[1]) if g[0] + g[1] > 0 else 0.0
+    splits, leaves, at = {}, {}, {1: cells}
+    total = lambda part: (sum(r[-2] for r in part), sum(r[-1] for r in part))
+    for _ in range(depth):
+        after = {}
+        for node, part in at.items():
+            best = None
+            for f in m_of_node(node):
+                for cut in sorted({r[f] for r in part})[:-1]:
+                    left, right = [r for r in part if r[f] <= cut], [r for r in part if r[f] > cut]
+                    gain = gini(total(part)) - gini(total(left)) - gini(total(right))
+                    if gain > 1e-9 * sum(total(part)) and (best is None or (round(gain, 12), -f, -cut) > best[0]):
+                        best = (round(gain, 12), -f, -cut), left, right
+            if best is None:
+                after[node] = part
+            else:
+                splits[node] = (-best[0][1], -best[0][2])
+                after[2 * node], after[2 * node + 1] = best[1:]
+        at = after
+    for node, part in at.items():
+        w0, w1 = total(part)
+        leaves[node] = w1 / (w0 + w1)
+    return splits, leaves
+
+
+def test_forest_growth_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(w, "o", 2, -1, t, int(rng.integers(0, 6)), int(rng.integers(0, 4)), float(rng.random()), float(rng.random() * (1 + t)))
+            for w in range(2) for t in range(1, 4) for _ in range(20)]
+    cells = spark.createDataFrame(rows, "window_no int, outcome_label string, m int, left_out int, tree int, bin_0 int, bin_1 int, w0 double, w1 double")
+    levels, leaves = FO.grow(cells, 2, 3, seed=1)
+    splits = {(r.window_no, r.tree, r.node): (r.split_on, r.split_at) for level in levels for r in level.collect()}
+    shares = {(r.window_no, r.tree, r.node): r.p for r in leaves.collect()}
+    want_splits, want_leaves = {}, {}
+    for w in range(2):
+        for t in range(1, 4):
+            a, b = _brute_tree([r[5:] for r in rows if r[0] == w and r[4] == t], 2, lambda node: (0, 1), 3)
+            want_splits |= {(w, t, n): v for n, v in a.items()}
+            want_leaves |= {(w, t, n): v for n, v in b.items()}
+    assert splits == want_splits and shares.keys() == want_leaves.keys()
+    assert all(abs(shares[key] - v) < 1e-9 for key, v in want_leaves.items())
+    # Every row's prediction is the mean over the trees of the leaf that its bins lead to.
+    got = {(r.window_no, r.bin_0, r.bin_1): r.p for r in FO.predict(cells.select(*FO.FIT, "bin_0", "bin_1").distinct(), levels, leaves, 2).collect()}
+    for (w, *bins), p in got.items():
+        walked = []
+        for t in range(1, 4):
+            node = 1
+            while (w, t, node) in splits:
+                f, cut = splits[w, t, node]
+                node = 2 * node + (bins[f] > cut)
+            walked.append(shares[w, t, node])
+        assert abs(np.mean(walked) - p) < 1e-9
+
+
+def test_forest_draws(spark):
+    """Draws have mean and variance 1, differ between trees, and weights are summed by label."""
+    rows = spark.range(4000).selectExpr("1 AS window_no", "'o' AS outcome_label", "0 AS fold", "CAST(id % 2 AS double) AS y", "2e0 AS w", "xxhash64(id) AS row_hash", "CAST(id AS int) AS bin_0")
+    n = FO.training_cells(rows, 1, 2, seed=1).selectExpr("tree", "bin_0", "w0 / 2 AS a", "w1 / 2 AS b").toPandas()
+    assert (n[n.bin_0 % 2 == 0].b == 0).all() and (n[n.bin_0 % 2 == 1].a == 0).all()
+    for t in (1, 2):
+        drawn = n[n.tree == t].set_index("bin_0").eval("a + b").reindex(range(4000), fill_value=0)
+        assert abs(drawn.mean() - 1) < 0.06 and abs(drawn.var() - 1) < 0.12
+    assert n.groupby("bin_0").size().nunique() > 1
+
+
+def test_forest_cross_validation_picks_what_predicts(panel):
+    """Two features, one of them noise: with both tried at each node the informative one is found, and predictions follow it."""
+    rows = L.model_rows(panel, OUTCOMES)
+    refits = [FO.Refit(date(2021, 1, 1), date(2021, 4, 20), date(2021, 5, 5), date(2021, 6, 2)), FO.Refit(date(2021, 1, 1), date(2021, 1, 2), date(2021, 6, 9), date(2021, 6, 9))]
+    got = FO.forest_scores(rows, refits, OUTCOMES, ["admits_weekly", "cases_weekly"], n_trees=10, mtry=2).toPandas()
+    assert len(got) == 6 * 30 * 2 and got[got.ymd == date(2021, 6, 9)].pred.isna().all()  # a window without rows
+    first = got[(got.ymd < date(2021, 6, 9)) & (got.outcome_label == "zeke_time_3")]
+    assert (first.pred.isna() == first.admits_weekly.isna()).all() and first.pred.dropna().between(0, 1).all()
+    assert first.pred.corr(first.admits_weekly) > 0.7
+
+
 def test_every_date_has_its_own_forest_window(panel):
     """A refit's rows are the quarterly window of each of its dates, no more and no less."""
     windows = T.quarterly_windows(T.eval_dates(panel, "2021-04-01", "2021-07-20"))
@@ -195,13 +273,14 @@ def test_forest_query_asks_for_every_outcome_and_date(spark, monkeypatch):
     from riskpanel.queries import models as M
     from riskpanel.queries import shared as X
 
-    sf, asked = "/root/testdata/sf0.001", {}
+    sf, asked, kept = "/root/testdata/sf0.001", {}, X.stored
 
     def instead(rows, refits, outcomes, features, **_):
         asked.update(refits=refits, outcomes=outcomes)
         return rows.withColumn("pred", F.lit(None).cast("double"))
 
     monkeypatch.setattr(M.FO, "forest_scores", instead)
+    monkeypatch.setattr(M.X, "stored", lambda spark, name, sf_dir, build: build() if name == "forest_state" else kept(spark, name, sf_dir, build=build))
     rows = M.rf_variant(spark, sf)
     labels = {r.outcome_label for r in rows.select("outcome_label").distinct().collect()}
     assert labels == set(asked["outcomes"]) == set(DEFAULT_OUTCOMES) and len(labels) == 4

@@ -14,7 +14,7 @@ from check_queries import TABLES, compare  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 # Kept out of the quick run: these need the fits of every specification.
-SLOW = {"rf_variant", "analysis_matrix", "analysis_matrix_static", "adaptive_glm_fit", "adaptive_glm_score", "threshold_by_cost", "adaptive_quarterly", "adaptive_multi_fit",
+SLOW = {"rf_variant", "rf_audit", "analysis_matrix", "analysis_matrix_static", "adaptive_glm_fit", "adaptive_glm_score", "threshold_by_cost", "adaptive_quarterly", "adaptive_multi_fit",
         "roc_sweep", "adaptive_metrics", "best_static_table", "max_regret", "max_regret_adaptive", "quarter_table",
         "time_trend_table", "pivot_periods", "arg_best_rule", "agg_of_agg", "pareto_dominance", "roc_points",
         "switch_summary", "prediction_calendar"}
