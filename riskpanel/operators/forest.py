@@ -128,11 +128,13 @@ def forest_scores(
     """Predicted probability per test row. With more than one ``mtry`` candidate, 5-fold cross-validation by weighted accuracy picks
     for each window and outcome, ties to the smaller.
 
-    A training set with a single label predicts that label; one without rows of positive weight predicts NULL, and so does a test row
+    Without refits there are no rows. A training set with a single label predicts that label; one without rows of positive weight predicts NULL, and so does a test row
     that lacks a feature. Rows that are equal in every column are drawn together.
     """
     spark, names, k = rows.sparkSession, rows.columns, len(features)
     b, c = _bins(k), F.col
+    if not refits:
+        return rows.where(F.lit(False)).withColumn("pred", F.lit(None).cast("double"))
     table = literal_table(spark, [(i, r.lo, r.hi, r.first, r.last) for i, r in enumerate(refits)], "window_no int, lo date, hi date, first date, last date")
     train_days = table.where("hi > lo").select("window_no", F.explode(F.sequence(F.date_add("lo", 1), c("hi"))).alias("ymd"))
     test_days = table.where("last >= first").select("window_no", F.explode(F.sequence("first", "last")).alias("ymd"))

@@ -241,6 +241,14 @@ def test_forest_draws(spark):
     assert n.groupby("bin_0").size().nunique() > 1
 
 
+def test_forest_without_refits_or_without_two_labels(panel):
+    rows = L.model_rows(panel.withColumn("two_zeke_time_3", F.lit(False)), OUTCOMES)
+    refit = FO.Refit(date(2021, 2, 1), date(2021, 4, 1), date(2021, 5, 5), date(2021, 5, 5))
+    assert FO.forest_scores(rows, [], OUTCOMES, ["admits_weekly"]).count() == 0
+    got = FO.forest_scores(rows, [refit], ["two_zeke_time_3"], ["admits_weekly", "cases_weekly"], n_trees=3, mtry=2).toPandas()
+    assert len(got) == 30 and (got.pred == 0).all()  # also rows without admissions
+
+
 def test_forest_cross_validation_picks_what_predicts(panel):
     """Two features, one of them noise: with both tried at each node the informative one is found, and predictions follow it."""
     rows = L.model_rows(panel, OUTCOMES)
